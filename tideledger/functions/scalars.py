@@ -126,6 +126,11 @@ def label(value: Column | str, upper: bool = False) -> Column:
     return F.upper(text) if upper else text
 
 
+def is_client(client: Column, include_merchants: bool = False) -> Column:
+    """Ids of clients start with C; those of merchants, with M, count only on request."""
+    return client.startswith("C") | client.startswith("M") if include_merchants else client.startswith("C")
+
+
 def composite_key(separator: str, *parts: Column | str) -> Column:
     """Parts joined by ``separator``; null if any part is null."""
     pieces: list[Column] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideledger.functions.flags import flag_mask, mask_flags, union_flags
@@ -55,10 +57,12 @@ def canonical_monthly(df: DataFrame, flags: tuple[str, ...] | None = None, scale
 
 def combine(parts: list[DataFrame], flags: tuple[str, ...] | None = None, scale: int | None = None) -> DataFrame:
     """Canonical table of several parts; the aggregation is associative, so the parts may be partial already."""
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return canonical_monthly(whole, flags, scale)
+    return canonical_monthly(combine_rows(parts), flags, scale)
+
+
+def combine_rows(parts: list[DataFrame]) -> DataFrame:
+    """Union of same-schema parts by column name."""
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _checks() -> dict[str, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideledger.functions.scalars import field_amount, field_number, flag, label, month_of, step_time
+from tideledger.functions.scalars import field_amount, field_number, flag, is_client, label, month_of, step_time
 from tideledger.operators.canonical import canonical_rows, monthly_balances
 
 REQUIRED = {
@@ -44,10 +44,7 @@ def _sides(df: DataFrame, include_merchants: bool) -> DataFrame:
     both = F.array(
         side(0, "nameOrig", "oldbalanceOrg", "newbalanceOrig"), side(1, "nameDest", "oldbalanceDest", "newbalanceDest")
     )
-    allowed = F.col("client_id").startswith("C")
-    if include_merchants:
-        allowed = allowed | F.col("client_id").startswith("M")
-    return df.select("*", F.inline(both)).where(allowed)
+    return df.select("*", F.inline(both)).where(is_client(F.col("client_id"), include_merchants))
 
 
 def to_canonical(

@@ -39,7 +39,7 @@ def account_companies(tables: dict[str, DataFrame]) -> DataFrame | None:
     )
 
 
-def _with_company(df: DataFrame, companies: DataFrame | None, default: str) -> DataFrame:
+def with_company(df: DataFrame, companies: DataFrame | None, default: str) -> DataFrame:
     """Resolve ``account`` to a client. The lookup is a plain left join: its size decides whether it is broadcast."""
     if companies is None:
         return df.withColumn("client_id", F.lit(default))
@@ -86,7 +86,7 @@ def to_canonical(tables: dict[str, DataFrame], dataset: str, provider: str) -> D
     if companies is None:
         return rows.withColumn("client_id", F.lit(SINGLE))
     partial = canonical_monthly(rows, FLAGS).withColumnRenamed("client_id", "account")
-    return _with_company(partial, companies, "UNKNOWN_COMPANY").select(*rows.columns)
+    return with_company(partial, companies, "UNKNOWN_COMPANY").select(*rows.columns)
 
 
 def to_liquidity(tables: dict[str, DataFrame], threshold: float = 0.0) -> DataFrame | None:
@@ -109,5 +109,5 @@ def to_liquidity(tables: dict[str, DataFrame], threshold: float = 0.0) -> DataFr
     if company:
         seen = plain.withColumnRenamed("account", "client_id").dropna(subset=["client_id"])
     else:
-        seen = _with_company(plain, account_companies(tables) if account else None, SINGLE)
+        seen = with_company(plain, account_companies(tables) if account else None, SINGLE)
     return monthly_balances(seen, ["moment", "balance"], threshold=threshold)

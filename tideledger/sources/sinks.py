@@ -65,6 +65,6 @@ def page(df: DataFrame, keys: list[str], offset: int, limit: int) -> DataFrame:
     return wanted.drop("_row").withColumn("total_rows", F.lit(numbered.count()))
 
 
-def newest_first(runs: DataFrame, created: str = "created_at", limit: int = 100) -> DataFrame:
+def newest_first(runs: DataFrame, created: str = "created_at", limit: int = 100, tie: str = "run_id") -> DataFrame:
     """Latest runs first."""
-    return runs.orderBy(F.desc(created)).limit(limit)
+    return runs.orderBy(F.desc(created), F.desc(tie)).limit(limit)

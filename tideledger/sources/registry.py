@@ -157,15 +157,23 @@ SOURCES = {
 
 
 def normalize(
-    spark: SparkSession, name: str, paths: list[str], options: dict | None = None, scale: int | None = None
+    spark: SparkSession,
+    name: str,
+    paths: list[str],
+    options: dict | None = None,
+    scale: int | None = None,
+    adapters: dict[str, Callable] | None = None,
 ) -> Normalized:
-    """Normalize the files of a source; ``options['adapter']`` overrides the adapter of that name."""
-    options = options or {}
+    """Normalize the files of a source; ``options['adapter']`` overrides the adapter of that name.
+
+    ``adapters`` adds the caller's own: functions ``(spark, paths, source, options) -> Normalized``.
+    """
+    options, known = options or {}, {**ADAPTERS, **(adapters or {})}
     adapter = options.get("adapter", name)
-    if adapter not in ADAPTERS:
-        raise SourceError(f"No adapter {adapter!r}; there are {', '.join(sorted(ADAPTERS))}")
+    if adapter not in known:
+        raise SourceError(f"No adapter {adapter!r}; there are {', '.join(sorted(known))}")
     source = SOURCES.get(name, Source(name))
-    result = ADAPTERS[adapter](spark, paths, source, options)
+    result = known[adapter](spark, paths, source, options)
     if result.canonical is not None:
         result.canonical = canonical_monthly(result.canonical, ADAPTER_FLAGS, scale)
     return result

@@ -22,9 +22,3 @@ def before(spec: WindowSpec, count: int) -> WindowSpec:
 
 def up_to_now(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, 0)
-
-
-def streak(condition: Column, place: Column, spec: WindowSpec) -> Column:
-    """Length of the run of true values that ends at this row; ``place`` is the row's 1-based number in ``spec``."""
-    restart = F.max(F.when(condition, None).otherwise(place)).over(up_to_now(spec))
-    return place - F.coalesce(restart, F.lit(0))

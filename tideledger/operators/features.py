@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideledger.functions.scalars import finite, flag, guarded_ratio
-from tideledger.functions.windows import last_rows, per, streak
+from tideledger.functions.scalars import flag, guarded_ratio
 from tideledger.schemas import LABELS, MEASURES, check_target_name
 
 KEYS = ["client_id", "month"]
@@ -88,49 +87,51 @@ def monthly_totals(
     )
 
 
+MONTHS = "PARTITION BY client_id ORDER BY month"
+
+
+def _over(back: int | None = None) -> str:
+    """Window text over the client's months: the whole order, or the last ``back`` rows up to this one."""
+    rows = "" if back is None else f" ROWS BETWEEN {back - 1} PRECEDING AND CURRENT ROW"
+    return f"OVER ({MONTHS}{rows})"
+
+
 def add_history(totals: DataFrame, labels: list[str] = LABELS) -> DataFrame:
-    """Lag, rolling, change, trend and streak columns; all share one window, hence one sort."""
-    months = per("client_id", order="month")
+    """Lag, rolling, change, trend and streak columns; all share one window order, hence one sort.
+
+    Written as SQL text: with some two hundred columns, one string per column plans much faster than column objects.
+    """
     amounts = [f"{direction}_sum__{label}" for direction in ("debit", "credit") for label in labels]
-    lags = [
-        F.lag(quoted(name), back).over(months).alias(f"{name}_lag_{back}") for back in LAGS for name in CORE + amounts
+    lags = [f"lag(`{name}`, {back}) {_over()} AS `{name}_lag_{back}`" for back in LAGS for name in CORE + amounts]
+    rolling = [
+        f"{function}({name}) {_over(span)} AS {name}_{suffix}_{span}"
+        for span in SPANS
+        for name in CORE
+        for function, suffix in (("avg", "mean"), ("stddev_samp", "std"))
     ]
-    rolling = []
-    for span in SPANS:
-        frame = last_rows(months, span)
-        for name in CORE:
-            rolling.append(F.avg(name).over(frame).alias(f"{name}_mean_{span}"))
-            rolling.append(F.stddev_samp(name).over(frame).alias(f"{name}_std_{span}"))
-    negative = F.col("net_flow") < 0
-    helpers = [
-        F.row_number().over(months).alias("_place"),
-        F.sum(flag(negative)).over(last_rows(months, 6)).alias("negative_flow_months_6"),
+    runs = [
+        f"sum(if(net_flow < 0, 1L, 0L)) {_over(6)} AS negative_flow_months_6",
+        # Length of the run of negative months: this row's place less the place of the latest other month.
+        f"_place - coalesce(max(if(net_flow < 0, NULL, _place)) {_over()}, 0) AS negative_flow_streak",
     ]
-    windowed = totals.select("*", *lags, *rolling, *helpers)
-    windowed = windowed.select("*", streak(negative, F.col("_place"), months).alias("negative_flow_streak"))
+    # The place is numbered first, while rows are narrow.
+    placed = totals.selectExpr("*", f"row_number() {_over()} AS _place")
+    windowed = placed.selectExpr("*", *lags, *rolling, *runs).drop("_place")
 
     changes = []
     for name in CHANGES:
-        previous = F.col(f"{name}_lag_1")
-        change = F.col(name) - previous
-        changes.append(change.alias(f"{name}_change"))
-        changes.append(guarded_ratio(change, F.abs(previous)).alias(f"{name}_change_pct"))
-    trends = [
-        ((F.col(f"total_{side}") - F.col(f"total_{side}_lag_2")) / 2.0).alias(f"{side}_trend_3")
-        for side in ("credit", "debit")
-    ]
-    windowed = windowed.select("*", *changes, *trends)
-
-    def at_least_zero(value: Column) -> Column:
-        # A missing change stays missing; greatest() alone would turn it into 0.
-        return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
-
-    final = [
-        at_least_zero(-F.col("credit_count_change_pct")).alias("credit_count_decline"),
-        at_least_zero(F.col("debit_count_change_pct")).alias("debit_count_growth"),
-        guarded_ratio(F.col("total_credit_std_6"), F.abs(F.col("total_credit_mean_6"))).alias("credit_volatility_6"),
-    ]
-    return windowed.select("*", *final).drop("_place")
+        change = f"{name} - {name}_lag_1"
+        changes.append(f"{change} AS {name}_change")
+        changes.append(f"({change}) / greatest(abs({name}_lag_1), 1D) AS {name}_change_pct")
+    trends = [f"(total_{side} - total_{side}_lag_2) / 2 AS {side}_trend_3" for side in ("credit", "debit")]
+    moved = windowed.selectExpr("*", *changes, *trends)
+    # A missing change stays missing; greatest() alone would turn it into 0.
+    return moved.selectExpr(
+        "*",
+        "if(credit_count_change_pct IS NULL, NULL, greatest(-credit_count_change_pct, 0D)) AS credit_count_decline",
+        "if(debit_count_change_pct IS NULL, NULL, greatest(debit_count_change_pct, 0D)) AS debit_count_growth",
+        "total_credit_std_6 / greatest(abs(total_credit_mean_6), 1D) AS credit_volatility_6",
+    )
 
 
 def feature_frame(
@@ -156,8 +157,14 @@ def feature_frame(
 
 
 def _only_finite(frame: DataFrame, target: list[str]) -> DataFrame:
-    features = [name for name in frame.columns if name not in (*KEYS, *target)]
-    return frame.select(*KEYS, *[finite(quoted(name)).alias(name) for name in features], *target)
+    """NaN and infinite features become null."""
+    infinite = "double('infinity')"
+    features = [
+        f"if(isnan(`{name}`) OR abs(`{name}`) = {infinite}, NULL, `{name}`) AS `{name}`"
+        for name in frame.columns
+        if name not in (*KEYS, *target)
+    ]
+    return frame.selectExpr(*KEYS, *features, *target)
 
 
 def feature_columns(frame: DataFrame, target_name: str = TARGET) -> list[str]:

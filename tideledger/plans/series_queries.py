@@ -35,9 +35,15 @@ def _history(spark, sf_dir):
     return features.feature_frame(tb.canonical(spark, sf_dir), labels=tb.LABELS, scale=2)
 
 
-def _rounded(frame, digits: int, names: list[str]):
+#: Added before rounding means on both sides: a mean of few cent amounts can lie exactly between two rounded values,
+#: where the last bit of a sum would decide.
+OFF_TIES = "0.000000137"
+
+
+def _rounded(frame, digits: int, names: list[str], shift: str = "0"):
     """Client, month and the named features, rounded so both engines agree on the last bit."""
-    return frame.select("client_id", "month", *[(F.round(features.quoted(name), digits) + 0.0).alias(name) for name in names])
+    shown = [f"round(`{name}` + {shift}D, {digits}) + 0D AS `{name}`" for name in names]
+    return frame.selectExpr("client_id", "month", *shown)
 
 
 _LAGGED = [(name, back) for back in features.LAGS for name in features.CORE + _AMOUNTS]
@@ -52,18 +58,19 @@ def lags(spark, sf_dir):
 _ROLLED = [(name, span) for span in features.SPANS for name in features.CORE]
 
 
-def _rolling_sql(function: str, suffix: str, digits: int) -> str:
+def _rolling_sql(function: str, suffix: str, digits: int, shift: str = "0") -> str:
     columns = ", ".join(
-        f"""round({function}({name}) OVER (PARTITION BY client_id ORDER BY month ROWS BETWEEN {span - 1} PRECEDING AND CURRENT ROW), {digits})
+        f"""round({function}({name}) OVER (PARTITION BY client_id ORDER BY month ROWS BETWEEN {span - 1} PRECEDING AND CURRENT ROW)
+              + CAST({shift} AS DOUBLE), {digits})
             + 0.0 AS {name}_{suffix}_{span}"""
         for name, span in _ROLLED
     )
     return with_sql(tb.CANONICAL_SQL, FEATURES_SQL, f"SELECT client_id, month, {columns} FROM ratios")
 
 
-@query("G02_rolling_means", _rolling_sql("avg", "mean", 5))
+@query("G02_rolling_means", _rolling_sql("avg", "mean", 5, OFF_TIES))
 def rolling_means(spark, sf_dir):
-    return _rounded(_history(spark, sf_dir), 5, [f"{name}_mean_{span}" for name, span in _ROLLED])
+    return _rounded(_history(spark, sf_dir), 5, [f"{name}_mean_{span}" for name, span in _ROLLED], OFF_TIES)
 
 
 @query("G03_rolling_deviations", _rolling_sql("stddev_samp", "std", 4))

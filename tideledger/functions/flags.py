@@ -31,11 +31,15 @@ def flag_mask(flags: Column, known: tuple[str, ...]) -> Column:
         raise ValueError("A flag vocabulary holds at most 62 names; use union_flags")
     members = split_flags(flags)
     foreign = F.array_except(members, F.array(*[F.lit(name) for name in known]))
-    mask = F.lit(0).cast("long")
+    united = F.lit(0).cast("long")
     for bit, name in enumerate(known):
-        mask = mask + F.when(F.array_contains(members, name), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
+        united = united + F.when(F.array_contains(members, name), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
     complaint = F.raise_error(F.concat(F.lit("Unknown quality flag in: "), flags)).cast("long")
-    return F.when(flags.isNull(), F.lit(0).cast("long")).when(F.size(foreign) > 0, complaint).otherwise(mask)
+    mask = F.when(flags.isNull(), F.lit(0).cast("long"))
+    # Most rows carry one flag; only real sets are taken apart.
+    for bit, name in enumerate(known):
+        mask = mask.when(flags == name, F.lit(1 << bit).cast("long"))
+    return mask.when(F.size(foreign) > 0, complaint).otherwise(united)
 
 
 def mask_flags(mask: Column, known: tuple[str, ...]) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -14,22 +16,23 @@ def _word(text: str) -> str:
     return f"(^|[^{WORD}]){text}([^{WORD}]|$)"
 
 
-# Description categories in order of precedence; the first match wins.
+# Description categories in order of precedence, the first match wins. Each has its words; the ones
+# marked True must stand alone, the others may be part of a longer word.
 DESCRIPTION_CATEGORIES = [
-    ("UPI", _word("UPI")),
-    ("NEFT", _word("NEFT")),
-    ("RTGS", _word("RTGS")),
-    ("IMPS", _word("IMPS")),
-    ("CHEQUE", "CHEQUE|" + _word("CHQ")),
-    ("CASH", _word("CASH")),
-    ("ATM", _word("ATM")),
-    ("CHARGE", "CHARGE|FEE"),
-    ("REVERSAL", "REVERSAL|REVERSED"),
+    ("UPI", [("UPI", True)]),
+    ("NEFT", [("NEFT", True)]),
+    ("RTGS", [("RTGS", True)]),
+    ("IMPS", [("IMPS", True)]),
+    ("CHEQUE", [("CHEQUE", False), ("CHQ", True)]),
+    ("CASH", [("CASH", True)]),
+    ("ATM", [("ATM", True)]),
+    ("CHARGE", [("CHARGE", False), ("FEE", False)]),
+    ("REVERSAL", [("REVERSAL", False), ("REVERSED", False)]),
 ]
 
 # Substrings that mark the direction of a payment.
-DEBIT_WORDS = "debit|out|withdraw|expense"
-CREDIT_WORDS = "credit|in|deposit|income"
+DEBIT_WORDS = ("debit", "out", "withdraw", "expense")
+CREDIT_WORDS = ("credit", "in", "deposit", "income")
 
 
 def column(value: Column | str) -> Column:
@@ -80,29 +83,36 @@ def parse_number(value: Column | str) -> Column:
 def describe_category(value: Column | str) -> Column:
     """Category of a transaction description by the first matching pattern, else OTHER."""
     text = F.upper(F.coalesce(column(value).cast("string"), F.lit("")))
-    (label, pattern), *rest = DESCRIPTION_CATEGORIES
-    chain = F.when(text.rlike(pattern), label)
-    for label, pattern in rest:
-        chain = chain.when(text.rlike(pattern), label)
+
+    def has(word: str, alone: bool) -> Column:
+        # The plain search is cheap and rules out most texts before the pattern runs.
+        return text.contains(word) & text.rlike(_word(word)) if alone else text.contains(word)
+
+    chain = F
+    for name, words in DESCRIPTION_CATEGORIES:
+        chain = chain.when(_any(has(word, alone) for word, alone in words), name)
     return chain.otherwise("OTHER")
 
 
+def _any(conditions) -> Column:
+    return reduce(or_, conditions)
+
+
 def directions(direction: Column | str | None, signed: Column) -> tuple[Column, Column]:
     """(is_debit, is_credit). Both can hold ("outgoing" contains "in"); the sign decides where neither does."""
     if direction is None:
         return signed < 0, signed >= 0
     text = F.lower(F.coalesce(column(direction).cast("string"), F.lit("")))
-    debit, credit = text.rlike(DEBIT_WORDS), text.rlike(CREDIT_WORDS)
+    debit, credit = (_any(text.contains(word) for word in words) for words in (DEBIT_WORDS, CREDIT_WORDS))
     neither = ~(debit | credit)
     return debit | (neither & (signed < 0)), credit | (neither & (signed >= 0))
 
 
-def step_time(step: Column | str, base: str = "2023-01-01", unit: str = "hour") -> Column:
-    """``base`` plus a number of hours or days; a bad step gives ``base``."""
-    seconds = {"hour": 3600, "day": 86400}[unit]
-    span = (number(step) * seconds).cast("decimal(18,6)")
-    zero = F.lit(0)
-    return F.lit(base).cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, span)
+def step_time(step: Column, base: str = "2023-01-01", unit: str = "hour") -> Column:
+    """``base`` plus a numeric step of hours or days; a missing step gives ``base``."""
+    micros = {"hour": 3_600_000_000, "day": 86_400_000_000}[unit]
+    span = (F.coalesce(step.cast("double"), F.lit(0.0)) * float(micros)).cast("long")
+    return F.timestamp_add("MICROSECOND", span, F.lit(base).cast("timestamp_ntz"))
 
 
 def moment_of(df: DataFrame, name: str) -> Column:

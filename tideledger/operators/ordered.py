@@ -26,7 +26,7 @@ def _before(group: list[str]):
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "row_number") -> DataFrame:
-    """Adds the 1-based row number of each row in its group. Group columns must not be null."""
+    """Adds the 1-based row number of each row in its group."""
     placed = _placed(df, group, order)
     runs = placed.groupBy("_part", *group).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     # One row per (partition, group): few, however many rows there are.

@@ -287,12 +287,18 @@ def formatted_number(spark, sf_dir):
     return tb.table(spark, sf_dir, "lineitem").select("l_orderkey", S.parse_number(text).alias("amount"))
 
 
-_CATEGORY_SQL = " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in S.DESCRIPTION_CATEGORIES)
+def _category_sql() -> str:
+    word = "(^|[^\\p{{L}}\\p{{N}}_]){0}([^\\p{{L}}\\p{{N}}_]|$)"
+    cases = [
+        (name, "|".join(word.format(text) if alone else text for text, alone in words))
+        for name, words in S.DESCRIPTION_CATEGORIES
+    ]
+    return " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in cases)
 
 
 @query(
     "B05_description_category",
-    f"""SELECT doc_id, CASE {_CATEGORY_SQL} ELSE 'OTHER' END AS category
+    f"""SELECT doc_id, CASE {_category_sql()} ELSE 'OTHER' END AS category
         FROM (SELECT doc_id, upper(text) AS t FROM documents)""",
 )
 def description_category(spark, sf_dir):
@@ -327,7 +333,7 @@ def direction(spark, sf_dir):
        FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE user_id END AS step FROM events)""",
 )
 def step_time(spark, sf_dir):
-    step = F.when(F.col("event_type") == "error", "bad").otherwise(F.col("user_id").cast("string"))
+    step = S.try_number(F.when(F.col("event_type") == "error", "bad").otherwise(F.col("user_id").cast("string")))
     shown = "yyyy-MM-dd HH"
     return tb.table(spark, sf_dir, "events").select(
         "event_id",

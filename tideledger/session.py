@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -67,9 +69,11 @@ BROADCAST_ROWS = 500_000
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that broadcasts ``small`` only after counting it; a larger one is left to the planner.
 
-    ``small`` is staged, so counting and joining compute it once.
+    Null keys match each other, so no row is lost. ``small`` is staged, so counting and joining compute it once.
     """
     small = stage(small)
+    renamed = small.withColumnsRenamed({name: f"_{name}_" for name in on})
     if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+        renamed = F.broadcast(renamed)
+    same = reduce(and_, [big[name].eqNullSafe(renamed[f"_{name}_"]) for name in on])
+    return big.join(renamed, same, how).drop(*[f"_{name}_" for name in on])

@@ -58,7 +58,7 @@ def to_canonical(
     rows = _sides(df, include_merchants).select(
         "client_id",
         "side",
-        month_of(step_time("step", base_date, "hour")).alias("month"),
+        month_of(step_time(field_number(df, "step"), base_date, "hour")).alias("month"),
         label("type", upper=True).alias("kind"),
         field_amount(df, "amount").cast("double").alias("paid"),
         (F.col("new") - F.col("old")).alias("change"),
@@ -109,7 +109,7 @@ def to_liquidity(
         .where("old is not null and new is not null")
         .select(
             "client_id",
-            month_of(step_time("step", base_date, "hour")).alias("month"),
+            month_of(step_time(field_number(df, "step"), base_date, "hour")).alias("month"),
             field_number(df, "step").cast("double").alias("step"),
             *sequence,
             "side",

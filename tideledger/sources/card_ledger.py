@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tideledger.functions.scalars import field_amount, flag, label, month_of, step_time
+from tideledger.functions.scalars import field_amount, field_number, flag, label, month_of, step_time
 from tideledger.operators.canonical import canonical_rows
 
 REQUIRED = {"step", "customer", "category", "amount", "fraud"}
@@ -18,7 +18,7 @@ def to_canonical(df: DataFrame, dataset: str, provider: str, base_date: str = "2
         dataset,
         provider,
         client_id=F.col("customer").cast("string"),
-        month=month_of(step_time("step", base_date, "day")),
+        month=month_of(step_time(field_number(df, "step"), base_date, "day")),
         transaction_label=label("category"),
         debit_sum=spent,
         debit_nonzero_count=flag(spent > 0),

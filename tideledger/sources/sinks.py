@@ -10,10 +10,10 @@ from tideledger.operators.ordered import ranked
 
 
 def write_table(df: DataFrame, path: str, by_month: bool = False) -> str:
-    """Parquet with zstd. ``by_month`` makes one folder per month; hashing on the client too keeps a large month from
-    ending up in one task."""
+    """Parquet with zstd. ``by_month`` makes one folder per month: rows are brought together by month in tasks of
+    even size, so a month with very many rows is written by several tasks."""
     if by_month:
-        df = df.repartition("month", "client_id")
+        df = df.hint("rebalance", F.col("month"))
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy("month") if by_month else writer).parquet(path)
     return path

@@ -53,9 +53,7 @@ def statements(payloads: DataFrame) -> DataFrame:
     """One row per statement: a payload is a statement, or holds a list of them under one of the wrapper names."""
     own = F.array(F.struct(*[F.col(field.name) for field in STATEMENT_FIELDS]))
     wrapped = F.coalesce(*[F.col(name) for name in WRAPPERS if name in payloads.columns], own)
-    return payloads.select(F.explode(F.filter(wrapped, lambda item: item.isNotNull())).alias("statement")).select(
-        "statement.*"
-    )
+    return payloads.select(F.explode(wrapped).alias("statement")).where("statement is not null").select("statement.*")
 
 
 def _text(name: str) -> Column:

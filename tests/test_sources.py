@@ -191,7 +191,7 @@ def test_description_categories(spark):
         "coffée": "OTHER", "cashé": "OTHER", "reversed": "REVERSAL", "": "OTHER", "atm\ncash": "CASH",
     }
     df = spark.createDataFrame(list(cases.items()), "text string, expected string")
-    assert df.where(S.describe_category("text") != df["expected"]).collect() == []
+    assert S.with_category(df, "text").where("category <> expected").collect() == []
 
 
 def test_source_capabilities():

@@ -29,17 +29,17 @@ def flag_mask(flags: Column, known: tuple[str, ...]) -> Column:
     """Bit mask of a flag set over a known vocabulary; a foreign flag raises instead of being lost."""
     if len(known) > 62:
         raise ValueError("A flag vocabulary holds at most 62 names; use union_flags")
-    members = split_flags(flags)
-    foreign = F.array_except(members, F.array(*[F.lit(name) for name in known]))
+    padded = F.concat(F.lit("|"), flags, F.lit("|"))
     united = F.lit(0).cast("long")
     for bit, name in enumerate(known):
-        united = united + F.when(F.array_contains(members, name), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
+        united = united + F.when(padded.contains(f"|{name}|"), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
+    only_known = padded.rlike(f"^[|]+((\\Q{'\\E|\\Q'.join(known)}\\E)[|]+)*$")
     complaint = F.raise_error(F.concat(F.lit("Unknown quality flag in: "), flags)).cast("long")
     mask = F.when(flags.isNull(), F.lit(0).cast("long"))
     # Most rows carry one flag; only real sets are taken apart.
     for bit, name in enumerate(known):
         mask = mask.when(flags == name, F.lit(1 << bit).cast("long"))
-    return mask.when(F.size(foreign) > 0, complaint).otherwise(united)
+    return mask.when(only_known, united).otherwise(complaint)
 
 
 def mask_flags(mask: Column, known: tuple[str, ...]) -> Column:

@@ -80,9 +80,13 @@ def parse_number(value: Column | str) -> Column:
     return F.coalesce(digits.try_cast("double"), F.lit(0.0))
 
 
-def describe_category(value: Column | str) -> Column:
-    """Category of a transaction description by the first matching pattern, else OTHER."""
-    text = F.upper(F.coalesce(column(value).cast("string"), F.lit("")))
+def category_text(value: Column | str) -> Column:
+    """What ``category_of`` looks at: the upper-case text, empty for null."""
+    return F.upper(F.coalesce(column(value).cast("string"), F.lit("")))
+
+
+def category_of(text: Column) -> Column:
+    """Category of a prepared text by the first matching pattern, else OTHER."""
 
     def has(word: str, alone: bool) -> Column:
         # The plain search is cheap and rules out most texts before the pattern runs.
@@ -94,6 +98,12 @@ def describe_category(value: Column | str) -> Column:
     return chain.otherwise("OTHER")
 
 
+def with_category(df: DataFrame, text: str, name: str = "category") -> DataFrame:
+    """Adds the category of a description. The text is prepared in its own projection, once for all patterns."""
+    prepared = df.withColumn("_text", category_text(text))
+    return prepared.select(*df.columns, category_of(F.col("_text")).alias(name))
+
+
 def _any(conditions) -> Column:
     return reduce(or_, conditions)
 

@@ -122,6 +122,14 @@ def smallest_file(spark, sf_dir):
     return tabular.read_tabular(spark, chosen).select("doc_id", "quality", "toxic")
 
 
+@query("H07_smallest_table", "SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber")
+def smallest_table(spark, sf_dir):
+    """The smallest file with order lines, then its rows by line number."""
+    found = tabular.compatible_paths(spark, _paths(sf_dir), {"l_orderkey", "l_linenumber"})
+    chosen = tabular.read_tabular(spark, tabular.choose_file(spark, found))
+    return chosen.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("A08_find_table", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def find_table(spark, sf_dir):
     tables = tabular.load_tables(spark, _paths(sf_dir))
@@ -302,7 +310,7 @@ def _category_sql() -> str:
         FROM (SELECT doc_id, upper(text) AS t FROM documents)""",
 )
 def description_category(spark, sf_dir):
-    return tb.table(spark, sf_dir, "documents").select("doc_id", S.describe_category("text").alias("category"))
+    return S.with_category(tb.table(spark, sf_dir, "documents"), "text").select("doc_id", "category")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tideledger.functions.scalars import describe_category, flag, month_of, parse_number
+from tideledger.functions.scalars import category_of, category_text, flag, month_of, parse_number
 from tideledger.operators.canonical import canonical_rows, monthly_balances
 from tideledger.sources.tabular import LINES, suffix
 
@@ -75,22 +75,32 @@ def transactions(df: DataFrame) -> DataFrame:
     )
     flat = df.select(_client(), "currency", F.posexplode(chosen).alias("place", "item")).where("item is not null")
     day = F.coalesce(F.nullif(F.col("item.date"), F.lit("")), F.col("item.transaction_date"))
-    failed = F.coalesce(F.col("item.failed"), F.lit(False))
+    parts = flat.select(
+        "client_id",
+        "currency",
+        "place",
+        day.alias("day"),
+        category_text("item.description").alias("text"),
+        F.coalesce(F.col("item.failed"), F.lit(False)).alias("failed"),
+        F.col("item.debit").alias("debit"),
+        F.col("item.credit").alias("credit"),
+        F.nullif(F.col("item.balance"), F.lit("")).alias("balance_text"),
+    )
 
     def value(name: str) -> Column:
         # A failed transaction stays visible but moves no money.
-        return F.when(failed, F.lit(0.0)).otherwise(F.abs(parse_number(F.col(f"item.{name}"))))
+        return F.when(F.col("failed"), F.lit(0.0)).otherwise(F.abs(parse_number(name))).alias(name)
 
-    return flat.select(
+    return parts.select(
         "client_id",
         "currency",
         "place",
-        F.try_to_timestamp(day).alias("moment"),
-        describe_category(F.col("item.description")).alias("kind"),
-        failed.alias("failed"),
-        value("debit").alias("debit"),
-        value("credit").alias("credit"),
-        F.nullif(F.col("item.balance"), F.lit("")).alias("balance_text"),
+        F.try_to_timestamp("day").alias("moment"),
+        category_of(F.col("text")).alias("kind"),
+        "failed",
+        value("debit"),
+        value("credit"),
+        "balance_text",
     ).where("moment is not null")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec, functions as F
+from pyspark.sql import Window, WindowSpec
 
 
 def per(*keys: str, order: str | list[str]) -> WindowSpec:

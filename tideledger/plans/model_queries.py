@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideledger.functions.flags import union_flags
-from tideledger.operators import classify, compare, explain, features, forecast, ledger, ordered, scoring, text
+from tideledger.operators import classify, compare, explain, features, forecast, ledger, scoring, text
 from tideledger.plans import testbed as tb
 from tideledger.plans.catalog import query, with_sql
 from tideledger.plans.series_queries import _history, _PREPARED, _REASONS

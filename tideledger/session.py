@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="tideledger-")
     if not context.getCheckpointDir():

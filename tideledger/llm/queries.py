@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import sharding
+from tideledger.llm import sharding, warc
 from tideledger.llm.common import table
+from tideledger.session import scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,3 +62,35 @@ FROM best"""
 @register("op10_rendezvous_sharding", _RENDEZVOUS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_WARC = """
+WITH hashed AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+),
+spelled AS (
+    SELECT page_id, payload_bytes, list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (5 * (3 - i % 4))::INT) & 31) + 1, 1)), lambda a, b: a || b) AS payload_digest
+    FROM hashed
+),
+kept AS (SELECT payload_digest, max(page_id) AS keeper FROM spelled GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM spelled JOIN kept USING (payload_digest)
+"""
+
+
+@register("op5_warc_transactions", _WARC)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path))
+    head = F.col("head")
+    return captures.filter(head.isNotNull()).select(
+        head["headers"]["x-page-id"].cast("long").alias("page_id"),
+        head["payload_bytes"].alias("payload_bytes"),
+        head["payload_digest"].alias("payload_digest"),
+        head["record_type"].alias("record_type"),
+        F.regexp_extract(head["refers_to"], "^<urn:capture:(-?[0-9]+):", 1).cast("long").alias("refers_to"),
+    )

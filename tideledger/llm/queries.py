@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import sharding, warc
+from tideledger.llm import bpe, sharding, warc
 from tideledger.llm.common import table
 from tideledger.session import scratch
 
@@ -94,3 +97,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         head["record_type"].alias("record_type"),
         F.regexp_extract(head["refers_to"], "^<urn:capture:(-?[0-9]+):", 1).cast("long").alias("refers_to"),
     )
+
+
+def tokenizer_file() -> str:
+    """Place of the public byte-level vocabulary; another one can be named in TIDELEDGER_TOKENIZER."""
+    return os.environ.get("TIDELEDGER_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op4_bpe_transducer")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())

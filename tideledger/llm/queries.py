@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import bpe, sharding, warc
+from tideledger.llm import bpe, sharding, simhash, warc
 from tideledger.llm.common import table
 from tideledger.session import scratch
 
@@ -100,10 +98,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_file() -> str:
-    """Place of the public byte-level vocabulary; another one can be named in TIDELEDGER_TOKENIZER."""
-    return os.environ.get("TIDELEDGER_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+    """Place of the public byte-level vocabulary; the operator takes any file of its kind."""
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @register("op4_bpe_transducer")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@register("op8_simhash_vptree")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import bpe, sharding, simhash, warc
+from tideledger.llm import bpe, decontaminate, sharding, simhash, warc
 from tideledger.llm.common import table
 from tideledger.session import scratch
 
@@ -77,7 +77,7 @@ spelled AS (
 kept AS (SELECT payload_digest, max(page_id) AS keeper FROM spelled GROUP BY 1)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
     CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+    CASE WHEN page_id <> keeper THEN keeper END AS refers_to, 1 AS requests, 1 AS metadata
 FROM spelled JOIN kept USING (payload_digest)
 """
 
@@ -94,6 +94,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         head["payload_digest"].alias("payload_digest"),
         head["record_type"].alias("record_type"),
         F.regexp_extract(head["refers_to"], "^<urn:capture:(-?[0-9]+):", 1).cast("long").alias("refers_to"),
+        F.size("requests").alias("requests"),
+        F.size("metadata").alias("metadata"),
     )
 
 
@@ -110,3 +112,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_simhash_vptree")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op7_template_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,7 +4,7 @@ Numbers, names and units become typed placeholders, so a question with other par
 holds an item if at least ``similarity`` of the item's template windows occur in it together. By counting, one of any
 floor((1 - similarity) x windows) + 1 windows must then occur exactly; those with the longest words are looked for, each
 by its longest word. Only where that word stands in a text is a window built and compared, so the pass over the texts
-is one join of their words with a small table and moves no text. Slots of the aligned place must be filled consistently.
+is one join of their words with a small table and shuffles nothing; only texts with a match are looked up again. Slots of the aligned place must be filled consistently.
 """
 
 from __future__ import annotations
@@ -121,26 +121,36 @@ def leaks(
     """
     items = _items(benchmark, item_key, item_text)
     anchors = stage(_anchors(items, similarity))
-    spread = docs.select(F.col(key).alias("doc"), words_of(F.col(text)).alias("words")).select(
-        "doc", "words", F.posexplode("words").alias("at", "word")
-    )
-    spread = spread.withColumn("anchor", core(F.col("word")))
+    texts = docs.select(F.col(key).alias("doc"), words_of(F.col(text)).alias("words"))
+    # Each word with its neighbours: a row has a few words only, however long its text is.
+    pad = F.array(*[F.lit("")] * WINDOW)
+    shifted = [F.slice(F.concat(pad, "words", pad), 1 + k, F.size("words")).alias(f"w{k}") for k in range(2 * WINDOW)]
+    spread = texts.filter(F.size("words") > 0).select("doc", F.posexplode(F.arrays_zip(*shifted)).alias("at", "near"))
+    spread = spread.withColumn("anchor", core(F.col(f"near.w{WINDOW}")))
     blocks = max(1, ceil(anchors.count() / ANCHORS))
     hits = None
     for block in range(blocks):
         part = anchors.filter(F.pmod(F.xxhash64("item_id", "start"), F.lit(blocks)) == block)
-        begin = F.col("at") - F.col("offset")
-        there = F.xxhash64(F.array_join(template(_led(F.col("words"), begin, F.col("width"))), " "))
-        slack = F.ceil(F.col("n") / 4).cast("int")
-        first = begin - F.col("start")  # where the item would begin
-        low = F.greatest(first - slack, F.lit(0))
+        near = F.array(*[F.col(f"near.w{k}") for k in range(2 * WINDOW)])
+        there = template(F.slice(near, WINDOW - F.col("offset"), F.col("width") + 1))
         found = (
             spread.join(F.broadcast(part), "anchor")
-            .filter((begin >= 0) & (there == F.col("hash")))
-            .select("doc", "item_id", first.alias("first"), low.alias("low"), _led(F.col("words"), low, first + F.col("n") + slack - low).alias("led"))
+            .filter(F.xxhash64(F.array_join(there, " ")) == F.col("hash"))
+            .select("doc", "item_id", "n", (F.col("at") - F.col("offset") - F.col("start")).alias("first"))
         )
         hits = found if hits is None else hits.unionByName(found)
-    places = hits.dropDuplicates(["doc", "item_id", "first", "led"])
+    # A document's places are at most as many as its words; its text is looked up once.
+    held = hits.distinct().groupBy("doc").agg(F.collect_list(F.struct("item_id", "n", "first")).alias("places"))
+    slack = lambda p: F.ceil(p["n"] / 4).cast("int")
+    low = lambda p: F.greatest(p["first"] - slack(p), F.lit(0))
+    region = lambda p: F.struct(
+        p["item_id"].alias("item_id"), p["first"].alias("first"), low(p).alias("low"),
+        _led(F.col("words"), low(p), p["first"] + p["n"] + slack(p) - low(p)).alias("led"),
+    )
+    places = (
+        texts.withColumnRenamed("doc", "own_doc").join(held, F.col("own_doc").eqNullSafe(F.col("doc")))
+        .select("doc", F.explode(F.transform("places", region)).alias("p")).select("doc", "p.*")
+    )
     joined = places.join(items.select("item_id", "n", F.col("words").alias("own"), F.col("tokens").alias("own_tokens"), "texts"), "item_id")
     joined = joined.withColumn("tokens", template(F.col("led")))
     share = F.size(F.array_intersect("texts", F.transform(_windows(F.col("tokens")), lambda w: w["text"]))) / F.size("texts")

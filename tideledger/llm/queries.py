@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import bpe, decontaminate, sharding, simhash, warc
-from tideledger.llm.common import table
+from tideledger.llm import bpe, decontaminate, langid, mtree, sharding, simhash, warc
+from tideledger.llm.common import fold, table
 from tideledger.session import scratch
 
 QUERIES: dict = {}
@@ -117,3 +117,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_template_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TOP = """
+WITH kept AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM kept q JOIN kept c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@register("op9_mtree_topk", _TOP)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op2_language_spans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(fold("doc_id", 5) != 0))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("spans"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import bpe, decontaminate, langid, mtree, sharding, simhash, warc
+from tideledger.llm import bpe, decontaminate, langid, mtree, ruleset, sharding, simhash, warc
 from tideledger.llm.common import fold, table
-from tideledger.session import scratch
+from tideledger.session import scratch, stage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -144,3 +144,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(fold("doc_id", 5) != 0))
     found = langid.identify(docs, model)
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("spans"))
+
+
+@register("op6_rule_ensemble")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stage(ruleset.statistics(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    labels = ruleset.one_label(table(spark, sf_dir, "labels"), "doc_id", "quality").filter(fold("doc_id", 5) != 0)
+    ensemble = ruleset.fit(measured.join(labels, "doc_id"))
+    scored = ruleset.score(measured, ensemble)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import bpe, decontaminate, langid, mtree, ruleset, sharding, simhash, warc
+from tideledger.llm import bpe, decontaminate, langid, mtree, passages, ruleset, sharding, simhash, warc
 from tideledger.llm.common import fold, table
 from tideledger.session import scratch, stage
 
@@ -153,3 +153,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensemble = ruleset.fit(measured.join(labels, "doc_id"))
     scored = ruleset.score(measured, ensemble)
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@register("op1_chained_passages")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))

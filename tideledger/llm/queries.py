@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import bpe, decontaminate, langid, mtree, passages, ruleset, sharding, simhash, warc
+from tideledger.llm import bpe, decontaminate, langid, mtree, passages, pitmanyor, ruleset, sharding, simhash, warc
 from tideledger.llm.common import fold, table
 from tideledger.session import scratch, stage
 
@@ -158,3 +158,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_chained_passages")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
+
+
+@register("op3_pitman_yor")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pitmanyor.train(docs.filter(fold("doc_id", 7) != 2))
+    found = pitmanyor.score(docs, model, keep={"held_out": fold("doc_id", 7) == 2})
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

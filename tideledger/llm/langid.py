@@ -92,7 +92,7 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
 class Model:
     languages: list[str]  # sorted
     scores: np.ndarray  # [SLOTS, languages] log probability of a trigram
-    open_: np.ndarray  # [scripts, languages] candidates
+    open_: np.ndarray  # [scripts, languages] candidates; words of a script without any tell nothing
     common: int  # language of most training letters
 
 
@@ -122,7 +122,6 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     used = (counts[:SLOTS].sum(axis=1) > 0).sum() + 1
     scores = np.log((counts[:SLOTS] + 0.5) / (letters + 0.5 * used))
     open_ = counts[SLOTS:] >= SHARE * np.maximum(letters, 1)
-    open_[~open_.any(axis=1)] = True  # a script nobody uses tells nothing
     return Model(languages, scores.astype(np.float32), open_, int(letters.argmax()))
 
 
@@ -146,7 +145,8 @@ def word_scores(model: Model, text: str) -> tuple[np.ndarray, np.ndarray, np.nda
             own = model.scores[_trigrams(letters)[where]]
             heads = np.concatenate([[0], np.cumsum(last - first)[:-1]])
             total = np.add.reduceat(own, heads, axis=0)
-            total = np.where(model.open_[scripts[first]], total, np.float32(-1e6))
+            allowed = model.open_[scripts[first]]
+            total = np.where(allowed, total, np.float32(-1e6)) * allowed.any(axis=1, keepdims=True)
             starts.append(first + at)
             ends.append(last + at)
             scores.append(total)
@@ -207,7 +207,8 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     """``<key>, lang_pred, score, spans`` per row, and the columns named in ``keep``.
 
     ``lang_pred`` is the language with most letters on the best path (of equal ones the first by name), ``score`` their
-    part of all letters, ``spans`` the runs of one language as character offsets, from its first word to its last. A
+    part of all letters (letters of a script that no
+    language uses count for none), ``spans`` the runs of one language as character offsets, from its first word to its last. A
     null text, or one without a letter, has ``und``, score 0 and no span; so has every text if nothing was learned. Where
     no word tells languages apart, the language of most training letters is taken. Texts are read whole. Repeated rows
     get the same result each; other columns are ignored; an empty table gives an empty result.
@@ -244,13 +245,14 @@ def _groups(batch: pd.Series) -> Iterator[list[str]]:
 def _row(model: Model, starts: np.ndarray, ends: np.ndarray, scores: np.ndarray, path: np.ndarray) -> tuple:
     if not len(path):
         return UNKNOWN, 0.0, []
-    letters = np.bincount(path, weights=ends - starts, minlength=len(model.languages))
-    if np.ptp(scores, axis=1).max() < 1e-6:
+    told = scores.any(axis=1)  # words in a script that some language uses
+    if told.any():
+        letters = np.bincount(path, weights=(ends - starts) * told, minlength=len(model.languages))
+        best = int(letters.argmax())
+        share = float(letters[best] / (ends - starts).sum())
+    else:
         best, share = model.common, 0.0
         path = np.full(len(path), best)
-    else:
-        best = int(letters.argmax())
-        share = float(letters[best] / letters.sum())
     heads = np.concatenate([[0], np.nonzero(np.diff(path))[0] + 1])
     tails = np.concatenate([heads[1:] - 1, [len(path) - 1]])
     spans = [(model.languages[path[h]], int(starts[h]), int(ends[t])) for h, t in zip(heads, tails)]

@@ -196,3 +196,68 @@ def test_description_categories(spark):
 
 def test_source_capabilities():
     assert registry.SOURCES["card_ledger"].limitations == {"debit_only", "no_balance", "no_credit_flow"}
+
+
+def test_dates_in_many_forms(spark):
+    from tideledger.functions.scalars import parse_moment
+
+    texts = ["2022-09-01", "2022-09-01T10:30:00", "2022/09/01 00:20", "2022/9/1", "05/01/2025", "25/12/2024", "1.2.2024", "25-12-2024 8:05", "3 Mar 2024", "Mar 3, 2024", " 2024-02-30 ", "soon", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    us, eu = (
+        [r[0].strftime("%Y-%m-%d %H:%M") if r[0] else None for r in df.select(parse_moment("t", day_first)).collect()]
+        for day_first in (False, True)
+    )
+    shared = ["2022-09-01 00:00", "2022-09-01 10:30", "2022-09-01 00:20", "2022-09-01 00:00"]
+    rest = ["2024-12-25 00:00", "2024-02-01 00:00", "2024-12-25 08:05", "2024-03-03 00:00", "2024-03-03 00:00", None, None, None, None]
+    assert us == [*shared, "2025-05-01 00:00", *rest]
+    assert eu == [*shared, "2025-01-05 00:00", *rest]
+
+
+def test_transfers_in_another_column_order_and_in_two_files(spark, tmp_path):
+    (tmp_path / "one.csv").write_text(
+        "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n"
+        "2022/09/01 00:20,010,A1,020,B1,5.5,USD,5.5,USD,Wire,0\n"
+    )
+    (tmp_path / "two.csv").write_text(
+        "Is Laundering,Payment Format,Payment Currency,Amount Paid,Receiving Currency,Amount Received,Account,To Bank,Account,From Bank,Timestamp,Note\n"
+        "0,ACH,USD,7,USD,7,A2,020,B2,010,09/30/2022,x\n"
+    )
+    paths = [str(tmp_path / "one.csv"), str(tmp_path / "two.csv")]
+    found = {(r.client_id, r.month, r.debit_sum, r.credit_sum) for r in normalize(spark, "currency_transfers", paths).canonical.collect()}
+    assert found == {("010:A1", "2022-09", 5.5, 0.0), ("020:B1", "2022-09", 0.0, 5.5), ("010:A2", "2022-09", 7.0, 0.0), ("020:B2", "2022-09", 0.0, 7.0)}
+    one = normalize(spark, "currency_transfers", paths, {"selected_file": "two.csv"})
+    assert one.canonical.count() == 2 and one.mapping["selected_file"] == paths[1]
+    (tmp_path / "bad.csv").write_text("Timestamp,From Bank,Account\n1,2,3\n")
+    with pytest.raises(tabular.SourceError):
+        tabular.read_by_header(spark, str(tmp_path / "bad.csv"), ["Timestamp", "Account", "Account.1"])
+
+
+def test_failed_as_banks_write_it(spark, tmp_path):
+    moves = ",".join(
+        f'{{"date": "05/01/2025", "debit": "10", "description": "x", "failed": {value}}}' for value in ("true", "1", '"true"', "1.5", "false", "0", '""', "null", "0.0")
+    )
+    (tmp_path / "s.json").write_text(f'{{"customer_id": "c", "transactions": [{moves}]}}')
+    payloads = statements.statements(statements.read(spark, str(tmp_path / "s.json")))
+    assert [(r.failed, r.debit) for r in statements.transactions(payloads).orderBy("place").collect()] == [(True, 0.0)] * 4 + [(False, 10.0)] * 5
+    assert {r.month for r in statements.to_canonical(payloads, "d", "p").collect()} == {"2025-05"}
+    assert {r.month for r in statements.to_canonical(payloads, "d", "p", day_first=True).collect()} == {"2025-01"}
+
+
+def test_tables_and_series_spread_over_files(spark, tmp_path):
+    for n, day in enumerate(("2024-01-05", "01/20/2024")):
+        folder = tmp_path / f"part{n}"
+        folder.mkdir()
+        (folder / "transactions.csv").write_text(f"date,amount,company_id\n{day},-{n + 1},k\n")
+        (folder / "flow.csv").write_text(f"date,inflow,outflow\n{day},{n + 1},0\n2024-02-01,10,1\n")
+    paths = [str(tmp_path / f"part{n}" / name) for n in range(2) for name in ("transactions.csv", "flow.csv")]
+    moved = normalize(spark, "company_ledger", [p for p in paths if "transactions" in p]).canonical.collect()
+    assert [(r.client_id, r.month, r.debit_sum) for r in moved] == [("k", "2024-01", 3.0)]
+    series = normalize(spark, "inout_series", [p for p in paths if "flow" in p]).series
+    assert sorted((str(r.date)[:10], r.inflow, r.net_flow) for r in series.collect()) == [("2024-01-05", 1.0, 1.0), ("2024-01-20", 2.0, 2.0), ("2024-02-01", 20.0, 18.0)]
+
+
+def test_rows_without_a_date_are_counted(spark):
+    from tideledger.functions.scalars import parse_moment
+
+    df = spark.createDataFrame([("2024-01-01",), ("never",), (None,)], "t string")
+    assert tuple(tabular.unreadable_dates(df, parse_moment("t")).first()) == (3, 2)

@@ -396,6 +396,17 @@ def drop_missing(spark, sf_dir):
     return _months(spark, sf_dir).dropna(subset=["month"])
 
 
+@query(
+    "B12_unreadable_dates",
+    """SELECT count(*) AS rows, count(*) FILTER (WHERE l_linenumber = 7) AS unreadable
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+            JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = c_nationkey""",
+)
+def unreadable_dates(spark, sf_dir):
+    rows = tb.transfers(spark, sf_dir)
+    return tabular.unreadable_dates(rows, S.moment_of(rows, "Timestamp"))
+
+
 @query("B13_forbidden_targets", "SELECT event_id, value FROM events")
 def forbidden_targets(spark, sf_dir):
     events = tb.table(spark, sf_dir, "events").select(

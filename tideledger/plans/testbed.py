@@ -201,9 +201,9 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    moment = F.date_format("l_shipdate", "yyyy/MM/dd HH:mm")
+    moment = F.when(F.col("l_linenumber") % 2 == 0, F.date_format("l_shipdate", "MM/dd/yyyy")).otherwise(F.date_format("l_shipdate", "yyyy/MM/dd HH:mm"))
     return joined.select(
-        F.when(F.col("l_linenumber") == 7, "unknown").otherwise(F.translate(moment, "/", "-")).alias("Timestamp"),
+        F.when(F.col("l_linenumber") == 7, "unknown").otherwise(moment).alias("Timestamp"),
         F.col("c_bank").alias("From Bank"),
         F.concat(F.lit("A"), F.col("o_custkey").cast("string")).alias("Account"),
         F.col("s_bank").alias("To Bank"),
@@ -251,11 +251,12 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             failed.alias("failed"),
         )
 
-    none, day_text = F.lit(None).cast("string"), day.cast("string")
+    none, day_text = F.lit(None).cast("string"), F.when(F.col("l_linenumber") == 2, F.date_format(day, "MM/dd/yyyy")).otherwise(day.cast("string"))
     moves = F.array(
-        transaction(day_text, none, "NEFT sale", F.lit("-"), F.concat(F.lit("INR "), text), text, F.col("l_returnflag") == "R"),
-        transaction(none, F.date_add(day, 20).cast("string"), "monthly fee", fee, F.lit(""), F.lit(""), F.lit(None).cast("boolean")),
-        transaction(F.lit("no date"), none, "ATM CASH", text, none, text, F.lit(False)),
+        transaction(day_text, none, "NEFT sale", F.lit("-"), F.concat(F.lit("INR "), text), text,
+            F.when(F.col("l_returnflag") == "R", F.element_at(F.array(F.lit("true"), F.lit("1"), F.lit("True")), 1 + (F.col("l_partkey") % 3).cast("int"))).otherwise("0")),
+        transaction(none, F.date_add(day, 20).cast("string"), "monthly fee", fee, F.lit(""), F.lit(""), none),
+        transaction(F.lit("no date"), none, "ATM CASH", text, none, text, F.lit("false")),
     )
     nothing = F.lit(None).cast(moves_type())
     long_name = F.col("l_linenumber") % 2 == 1

@@ -47,7 +47,7 @@ def with_company(df: DataFrame, companies: DataFrame | None, default: str) -> Da
     return joined.withColumn("client_id", F.coalesce("company", F.lit(default)))
 
 
-def to_canonical(tables: dict[str, DataFrame], dataset: str, provider: str) -> DataFrame:
+def to_canonical(tables: dict[str, DataFrame], dataset: str, provider: str, day_first: bool = False) -> DataFrame:
     """Canonical rows of the transaction table.
 
     Rows are first summed per account, month and label, so an account with very many transactions enters the lookup
@@ -72,7 +72,7 @@ def to_canonical(tables: dict[str, DataFrame], dataset: str, provider: str) -> D
         dataset,
         provider,
         client_id=holder.cast("string"),
-        month=month_of(moment_of(moves, day)),
+        month=month_of(moment_of(moves, day, day_first)),
         transaction_label=label(description) if description else F.lit("OTHER"),
         debit_sum=F.when(is_debit, size).otherwise(F.lit(0.0)),
         credit_sum=F.when(is_credit, size).otherwise(F.lit(0.0)),
@@ -89,7 +89,7 @@ def to_canonical(tables: dict[str, DataFrame], dataset: str, provider: str) -> D
     return with_company(partial, companies, "UNKNOWN_COMPANY").select(*rows.columns)
 
 
-def to_liquidity(tables: dict[str, DataFrame], threshold: float = 0.0) -> DataFrame | None:
+def to_liquidity(tables: dict[str, DataFrame], threshold: float = 0.0, day_first: bool = False) -> DataFrame | None:
     """Monthly balances of the statement table; none without one."""
     readings = find_table(tables, "statement")
     if readings is None:
@@ -99,7 +99,7 @@ def to_liquidity(tables: dict[str, DataFrame], threshold: float = 0.0) -> DataFr
     if not (day and value):
         return None
     account, company = first_column(names, ACCOUNT), first_column(names, COMPANY)
-    moment = moment_of(readings, day)
+    moment = moment_of(readings, day, day_first)
     plain = readings.select(
         (F.col(company) if company else F.col(account) if account else F.lit(None)).cast("string").alias("account"),
         month_of(moment).alias("month"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tideledger.functions.scalars import field_number, flag, inflow, moment_of, month_of, outflow
@@ -27,7 +29,7 @@ def is_series(columns: list[str]) -> bool:
     return bool(found["date"] and (found["inflow"] or found["outflow"] or found["net_flow"]))
 
 
-def to_series(df: DataFrame, series_id: str = SERIES_ID, scale: int | None = None) -> DataFrame:
+def to_series(df: DataFrame, series_id: str = SERIES_ID, scale: int | None = None, day_first: bool = False) -> DataFrame:
     """series_id, date, inflow, outflow, net_flow with one row per date.
 
     A net column is split by sign only where neither side is given. ``scale`` sums exact decimals.
@@ -46,7 +48,7 @@ def to_series(df: DataFrame, series_id: str = SERIES_ID, scale: int | None = Non
         received, spent = (side.cast(f"decimal(18,{scale})") for side in (received, spent))
     rows = df.select(
         F.lit(series_id).alias("series_id"),
-        moment_of(df, found["date"]).alias("date"),
+        moment_of(df, found["date"], day_first).alias("date"),
         received.alias("inflow"),
         spent.alias("outflow"),
     ).where("date is not null")
@@ -61,6 +63,14 @@ def to_series(df: DataFrame, series_id: str = SERIES_ID, scale: int | None = Non
     )
 
 
+def total(parts: list[DataFrame]) -> DataFrame:
+    """One series from several (see ``to_series``), such as the files it is spread over: dates they share are summed."""
+    if len(parts) == 1:
+        return parts[0]
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy("series_id", "date").agg(*[F.sum(name).alias(name) for name in ("inflow", "outflow", "net_flow")])
+
+
 def to_canonical(series: DataFrame, dataset: str, provider: str) -> DataFrame:
     """An INFLOW and an OUTFLOW row per date of a series (see ``to_series``)."""
     zero = F.lit(0.0)

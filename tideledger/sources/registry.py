@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +14,11 @@ from tideledger.operators.quality import Source
 from tideledger.sources import balance_ledger, card_ledger, category_text, companies, inout_series, statements, transfers
 from tideledger.sources.tabular import (
     SourceError,
-    choose_file,
     columns_of,
     compatible_paths,
     load_tables,
     read_tabular,
+    selected_files,
     suffix,
 )
 
@@ -62,15 +63,21 @@ def _card_ledger(spark, paths, source, options) -> Normalized:
     return Normalized(canonical=card_ledger.to_canonical(rows, source.id, "file", base), mapping=card_ledger.MAPPING)
 
 
+def _used(paths: list[str]) -> dict:
+    """The files read; ``selected_file`` names the one if it is only one."""
+    return {"selected_files": paths, "selected_file": paths[0] if len(paths) == 1 else None}
+
+
 def _transfers(spark, paths, source, options) -> Normalized:
     # Spark numbers a repeated header name by its place ("Account2", "Account4"), so only unique names can be asked for.
     needed = transfers.REQUIRED - {"Account", "Account.1"}
-    path = choose_file(spark, compatible_paths(spark, paths, needed), options.get("selected_file"))
-    rows = transfers.read(spark, path) if suffix(path) == ".csv" else read_tabular(spark, path)
+    chosen = selected_files(compatible_paths(spark, paths, needed), options.get("selected_file"))
+    parts = [transfers.read(spark, p) if suffix(p) == ".csv" else read_tabular(spark, p).select(*[f"`{c}`" for c in transfers.COLUMNS]) for p in chosen]
+    rows = reduce(DataFrame.unionByName, parts)
     canonical = transfers.to_canonical(
-        rows, source.id, "file", options.get("combine_currencies", False), options.get("fx")
+        rows, source.id, "file", options.get("combine_currencies", False), options.get("fx"), options.get("day_first", False)
     )
-    return Normalized(canonical=canonical, mapping={**transfers.MAPPING, "selected_file": path})
+    return Normalized(canonical=canonical, mapping={**transfers.MAPPING, **_used(chosen)})
 
 
 def _statements(spark, paths, source, options) -> Normalized:
@@ -82,8 +89,8 @@ def _statements(spark, paths, source, options) -> Normalized:
         payloads = payloads.unionByName(statements.read(spark, path))
     rows = statements.statements(payloads)
     return Normalized(
-        canonical=statements.to_canonical(rows, source.id, "file"),
-        liquidity=statements.to_liquidity(rows, options.get("balance_breach_threshold", 0.0)),
+        canonical=statements.to_canonical(rows, source.id, "file", options.get("day_first", False)),
+        liquidity=statements.to_liquidity(rows, options.get("balance_breach_threshold", 0.0), options.get("day_first", False)),
         mapping=statements.MAPPING,
     )
 
@@ -91,19 +98,20 @@ def _statements(spark, paths, source, options) -> Normalized:
 def _companies(spark, paths, source, options) -> Normalized:
     tables = load_tables(spark, [path for path in paths if suffix(path) in {".csv", ".parquet", ".jsonl", ".json"}])
     return Normalized(
-        canonical=companies.to_canonical(tables, source.id, "file"),
-        liquidity=companies.to_liquidity(tables, options.get("balance_breach_threshold", 0.0)),
+        canonical=companies.to_canonical(tables, source.id, "file", options.get("day_first", False)),
+        liquidity=companies.to_liquidity(tables, options.get("balance_breach_threshold", 0.0), options.get("day_first", False)),
         mapping={"tables": list(tables), "client_level": "company"},
     )
 
 
 def _inout_series(spark, paths, source, options) -> Normalized:
-    chosen = next((p for p in paths if suffix(p) == ".csv" and inout_series.is_series(columns_of(spark, p))), None)
-    if chosen is None:
+    found = [p for p in paths if suffix(p) == ".csv" and inout_series.is_series(columns_of(spark, p))]
+    if not found:
         raise SourceError("No CSV with a date and a flow column")
-    series = inout_series.to_series(read_tabular(spark, chosen))
+    chosen = selected_files(found, options.get("selected_file"))
+    series = inout_series.total([inout_series.to_series(read_tabular(spark, p), day_first=options.get("day_first", False)) for p in chosen])
     return Normalized(
-        canonical=inout_series.to_canonical(series, source.id, "file"), series=series, mapping={"selected_file": chosen}
+        canonical=inout_series.to_canonical(series, source.id, "file"), series=series, mapping=_used(chosen)
     )
 
 

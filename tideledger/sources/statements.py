@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tideledger.functions.scalars import category_of, category_text, flag, month_of, parse_number
+from tideledger.functions.scalars import category_of, category_text, flag, month_of, parse_moment, parse_number, truthy
 from tideledger.operators.canonical import canonical_rows, monthly_balances
 from tideledger.sources.tabular import LINES, suffix
 
 TEXT = T.StringType()
 TRANSACTION = T.StructType(
     [T.StructField(name, TEXT) for name in ("date", "transaction_date", "description", "debit", "credit", "balance")]
-    + [T.StructField("failed", T.BooleanType())]
+    + [T.StructField("failed", TEXT)]  # true, 1 or "true", as the bank writes it
 )
 STATEMENT_FIELDS = [
     T.StructField(name, TEXT)
@@ -67,8 +67,8 @@ def _client() -> Column:
     ).alias("client_id")
 
 
-def transactions(df: DataFrame) -> DataFrame:
-    """One row per transaction with a readable date, in statement order (``place``)."""
+def transactions(df: DataFrame, day_first: bool = False, unreadable: bool = False) -> DataFrame:
+    """One row per transaction with a readable date (or ``unreadable``: without), in statement order (``place``)."""
     empty = F.array().cast(T.ArrayType(TRANSACTION))
     chosen = F.when(F.size(F.coalesce("transactions", empty)) > 0, F.col("transactions")).otherwise(
         F.coalesce("transaction_details", empty)
@@ -81,7 +81,7 @@ def transactions(df: DataFrame) -> DataFrame:
         "place",
         day.alias("day"),
         category_text("item.description").alias("text"),
-        F.coalesce(F.col("item.failed"), F.lit(False)).alias("failed"),
+        truthy("item.failed").alias("failed"),
         F.col("item.debit").alias("debit"),
         F.col("item.credit").alias("credit"),
         F.nullif(F.col("item.balance"), F.lit("")).alias("balance_text"),
@@ -95,19 +95,19 @@ def transactions(df: DataFrame) -> DataFrame:
         "client_id",
         "currency",
         "place",
-        F.try_to_timestamp("day").alias("moment"),
+        parse_moment("day", day_first).alias("moment"),
         category_of(F.col("text")).alias("kind"),
         "failed",
         value("debit"),
         value("credit"),
         "balance_text",
-    ).where("moment is not null")
+    ).where("moment is null" if unreadable else "moment is not null")
 
 
-def to_canonical(df: DataFrame, dataset: str, provider: str) -> DataFrame:
+def to_canonical(df: DataFrame, dataset: str, provider: str, day_first: bool = False) -> DataFrame:
     """Canonical rows of statements (see ``statements``)."""
     return canonical_rows(
-        transactions(df),
+        transactions(df, day_first),
         dataset,
         provider,
         client_id=F.col("client_id"),
@@ -122,17 +122,17 @@ def to_canonical(df: DataFrame, dataset: str, provider: str) -> DataFrame:
     )
 
 
-def failed_operations(df: DataFrame) -> DataFrame:
+def failed_operations(df: DataFrame, day_first: bool = False) -> DataFrame:
     """Failed transactions per client and month."""
     return (
-        transactions(df)
+        transactions(df, day_first)
         .groupBy("client_id", month_of(F.col("moment")).alias("month"))
         .agg(F.sum(flag(F.col("failed"))).alias("failed_operations"))
         .where("failed_operations > 0")
     )
 
 
-def to_liquidity(df: DataFrame, threshold: float = 0.0) -> DataFrame:
+def to_liquidity(df: DataFrame, threshold: float = 0.0, day_first: bool = False) -> DataFrame:
     """Monthly balances: after each transaction, and the opening and closing balances of each statement.
 
     On the same day transactions come first, then openings, then closings.
@@ -140,10 +140,10 @@ def to_liquidity(df: DataFrame, threshold: float = 0.0) -> DataFrame:
 
     def reading(kind: int, day: str, text: str) -> Column:
         return F.struct(
-            F.try_to_timestamp(F.col(day)).alias("moment"), F.lit(kind).alias("kind"), F.col(text).alias("text")
+            parse_moment(day, day_first).alias("moment"), F.lit(kind).alias("kind"), F.col(text).alias("text")
         )
 
-    moves = transactions(df).select(
+    moves = transactions(df, day_first).select(
         "client_id", "moment", F.lit(0).alias("kind"), "place", F.col("balance_text").alias("text")
     )
     ends = df.select(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 CSV, LINES, PARQUET, DOCUMENT = {".csv", ".txt"}, {".jsonl", ".ndjson"}, {".parquet", ".pq"}, {".json"}
 
@@ -41,10 +42,32 @@ def read_tabular(spark: SparkSession, path: str, schema: T.StructType | None = N
     raise SourceError(f"Unsupported kind of file: {path}")
 
 
-def read_by_position(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Read a CSV whose header repeats a name: columns are bound by place, all as text."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+def read_by_header(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Read a CSV whose header may repeat a name, in any order, all columns as text.
+
+    Of ``names`` one that ends in ".1" is the second column of that name. Spark reads the header line and numbers
+    repeated names by place, from which each column's own name follows. A missing column is an error; others are ignored.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    repeated = {name.removesuffix(".1") for name in names if name.endswith(".1")}
+    seen: dict[str, int] = {}
+    bound: dict[str, int] = {}
+    for place, name in enumerate(raw.columns):
+        own = name.strip()
+        own = next((r for r in repeated if own in (r, f"{r}{place}")), own)
+        count = seen.get(own, 0)
+        seen[own] = count + 1
+        bound[f"{own}.{count}" if count else own] = place
+    missing = [name for name in names if name not in bound]
+    if missing:
+        raise SourceError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(raw.columns)}")
+    places = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
+    return places.select(*[F.col(f"c{bound[name]}").alias(name) for name in names])
+
+
+def unreadable_dates(df: DataFrame, moment: Column) -> DataFrame:
+    """``rows, unreadable``: how many rows a source has, and how many the adapters leave out for want of a date."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(moment.isNull().cast("long")), F.lit(0)).alias("unreadable"))
 
 
 def columns_of(spark: SparkSession, path: str) -> list[str]:
@@ -76,30 +99,43 @@ def raw_listing(spark: SparkSession, root: str) -> DataFrame:
     return file_sizes(spark, root).where(~F.col("path").contains("/.cache/")).orderBy("path")
 
 
-def choose_file(spark: SparkSession, paths: list[str], selected: str | None = None) -> str:
-    """The file named by ``selected`` (exact name or path ending), else the smallest one."""
+def selected_files(paths: list[str], selected: str | None = None) -> list[str]:
+    """All paths, or the one that ``selected`` names (exact name or path ending)."""
     if not paths:
         raise SourceError("No compatible file")
+    if not selected:
+        return paths
+    for path in paths:
+        if PurePosixPath(path).name == selected or path.endswith(f"/{selected}"):
+            return [path]
+    raise SourceError(f"The selected file is not compatible: {selected}")
+
+
+def choose_file(spark: SparkSession, paths: list[str], selected: str | None = None) -> str:
+    """The file named by ``selected``, else the smallest one. For a quick look: adapters read all files."""
+    paths = selected_files(paths, selected)
     if selected:
-        for path in paths:
-            if PurePosixPath(path).name == selected or path.endswith(f"/{selected}"):
-                return path
-        raise SourceError(f"The selected file is not compatible: {selected}")
+        return paths[0]
     sizes = spark.read.format("binaryFile").load(list(paths)).select("path", "length")
     return sizes.orderBy("length", "path").first()["path"]
 
 
 def load_tables(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
-    """One DataFrame per file, keyed by its lower-case stem."""
-    return {stem(path): read_tabular(spark, path) for path in paths}
+    """One DataFrame per lower-case file stem; files of the same stem are one table."""
+    tables: dict[str, DataFrame] = {}
+    for path in paths:
+        name, table = stem(path), read_tabular(spark, path)
+        tables[name] = tables[name].unionByName(table, allowMissingColumns=True) if name in tables else table
+    return tables
 
 
 def find_table(tables: dict[str, DataFrame], containing: str, without: str | None = None) -> DataFrame | None:
-    """First table whose name holds one text and not another."""
-    for name, table in tables.items():
-        if containing in name and (without is None or without not in name):
-            return table
-    return None
+    """All rows of the tables whose name holds one text and not another; None if there is none.
+
+    A table spread over several files is read whole: a column that one of them lacks is null in its rows.
+    """
+    found = [table for name, table in tables.items() if containing in name and (without is None or without not in name)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
 
 
 def first_column(columns: list[str], candidates: list[str]) -> str | None:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.functions.scalars import composite_key, field_amount, flag, label, month_of
+from tideledger.functions.scalars import composite_key, field_amount, flag, label, moment_of, month_of
 from tideledger.operators.canonical import canonical_rows, require_single_currency
-from tideledger.sources.tabular import read_by_position
+from tideledger.sources.tabular import read_by_header
 
-# The columns in file order. The header repeats "Account"; the second one is the receiver's.
+# The columns as files mostly order them. The header repeats "Account"; the second is the receiver's.
 COLUMNS = [
     "Timestamp",
     "From Bank",
@@ -31,12 +31,12 @@ MAPPING = {
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text, so bank codes keep their zeros."""
-    return read_by_position(spark, path, COLUMNS)
+    """Every column as text, so bank codes keep their zeros. The header says which column is which."""
+    return read_by_header(spark, path, COLUMNS)
 
 
 def to_canonical(
-    df: DataFrame, dataset: str, provider: str, combine_currencies: bool = False, fx: DataFrame | None = None
+    df: DataFrame, dataset: str, provider: str, combine_currencies: bool = False, fx: DataFrame | None = None, day_first: bool = False
 ) -> DataFrame:
     """Canonical rows: a debit row for the sender and a credit row for the receiver, from one scan."""
     paid, received = (field_amount(df, name).cast("double") for name in ("Amount Paid", "Amount Received"))
@@ -53,7 +53,7 @@ def to_canonical(
         received.alias("credit"),
     )
     sides = df.select(
-        month_of(F.col("Timestamp").try_cast("timestamp")).alias("month"),
+        month_of(moment_of(df, "Timestamp", day_first)).alias("month"),
         label(F.col("`Payment Format`")).alias("kind"),
         F.inline(F.array(sender, receiver)),
     ).where("month is not null")

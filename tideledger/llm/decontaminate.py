@@ -20,6 +20,8 @@ WINDOW = 5
 LITERALS = 3
 #: Anchor rows broadcast at once, at about 100 bytes each; a larger benchmark is worked through in blocks of that size.
 ANCHORS = 200_000
+#: Matched places (about 50 bytes each) up to which their documents are found by a broadcast; beyond it by a shuffle.
+PLACES = 400_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡*#&|"
 #: Number words and units of measure.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -62,10 +64,9 @@ def _led(words: Column, start: Column, length: Column) -> Column:
     return F.concat(first, F.slice(words, start + 1, length))
 
 
-def _windows(tokens: Column) -> Column:
-    """All windows of a template as structs (start, literals, text); a shorter template is one window."""
-    width = F.least(F.size(tokens), F.lit(WINDOW))
-    starts = F.sequence(F.lit(0), F.size(tokens) - width)
+def _windows(tokens: Column, width: Column) -> Column:
+    """All windows of ``width`` words of a template as structs (start, literals, text)."""
+    starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(0), F.greatest(F.size(tokens) - width, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     literal = lambda t: ~t.isin("<num>", "<unit>", "<name>", "")
     made = F.transform(
         starts,
@@ -83,7 +84,7 @@ def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
         benchmark.select(F.col(key).alias("item_id"), words_of(F.col(text)).alias("words"))
         .filter(F.size("words") > 0)
         .withColumn("tokens", template(F.concat(F.array(F.lit("")), F.col("words"))))
-        .withColumn("found", _windows(F.col("tokens")))
+        .withColumn("found", _windows(F.col("tokens"), F.least(F.size("tokens"), F.lit(WINDOW))))
         .filter(F.size("found") > 0)
     )
     return stage(made.withColumn("n", F.size("words")).withColumn("texts", F.array_distinct(F.transform("found", lambda w: w["text"]))))
@@ -121,7 +122,8 @@ def leaks(
     """
     items = _items(benchmark, item_key, item_text)
     anchors = stage(_anchors(items, similarity))
-    texts = docs.select(F.col(key).alias("doc"), words_of(F.col(text)).alias("words"))
+    raw = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("raw"))
+    texts = raw.select("doc", words_of(F.col("raw")).alias("words"))
     # Each word with its neighbours: a row has a few words only, however long its text is.
     pad = F.array(*[F.lit("")] * WINDOW)
     shifted = [F.slice(F.concat(pad, "words", pad), 1 + k, F.size("words")).alias(f"w{k}") for k in range(2 * WINDOW)]
@@ -140,7 +142,10 @@ def leaks(
         )
         hits = found if hits is None else hits.unionByName(found)
     # A document's places are at most as many as its words; its text is looked up once.
-    held = hits.distinct().groupBy("doc").agg(F.collect_list(F.struct("item_id", "n", "first")).alias("places"))
+    held = stage(hits.distinct().groupBy("doc").agg(F.collect_list(F.struct("item_id", "n", "first")).alias("places")))
+    size = held.agg(F.count(F.lit(1)), F.sum(F.size("places"))).first()
+    if size[0] + (size[1] or 0) <= PLACES:
+        held = F.broadcast(held)
     slack = lambda p: F.ceil(p["n"] / 4).cast("int")
     low = lambda p: F.greatest(p["first"] - slack(p), F.lit(0))
     region = lambda p: F.struct(
@@ -148,12 +153,15 @@ def leaks(
         _led(F.col("words"), low(p), p["first"] + p["n"] + slack(p) - low(p)).alias("led"),
     )
     places = (
-        texts.withColumnRenamed("doc", "own_doc").join(held, F.col("own_doc").eqNullSafe(F.col("doc")))
+        raw.withColumnRenamed("doc", "own_doc").join(held, F.col("own_doc").eqNullSafe(F.col("doc")))
+        .select("doc", "places", words_of(F.col("raw")).alias("words"))
         .select("doc", F.explode(F.transform("places", region)).alias("p")).select("doc", "p.*")
     )
     joined = places.join(items.select("item_id", "n", F.col("words").alias("own"), F.col("tokens").alias("own_tokens"), "texts"), "item_id")
-    joined = joined.withColumn("tokens", template(F.col("led")))
-    share = F.size(F.array_intersect("texts", F.transform(_windows(F.col("tokens")), lambda w: w["text"]))) / F.size("texts")
+    # Few rows; written once, so that no later expression repeats the template's work.
+    joined = stage(joined.withColumn("tokens", template(F.col("led"))))
+    there = _windows(F.col("tokens"), F.least(F.col("n"), F.lit(WINDOW)))
+    share = F.size(F.array_intersect("texts", F.transform(there, lambda w: w["text"]))) / F.size("texts")
     slot = lambda t: t.isin("<num>", "<unit>", "<name>")
     shift = F.col("first") - F.col("low")
     pairs = F.filter(

@@ -31,10 +31,11 @@ def test_standard_labels_give_211_features(spark):
 def test_extra_labels_become_columns(spark):
     table = history(spark)
     assert features.discover_labels(table) == ["RENT", "SALARY"]
-    wider = features.feature_frame(table.withColumn("transaction_label", F.lit("New one")), extra_labels=["New one"])
-    assert len(features.feature_columns(wider)) == 215
-    with pytest.raises(ValueError):
-        features.discover_labels(table, most=1)
+    other = table.withColumn("transaction_label", F.when(F.col("transaction_label") == "RENT", "New one").otherwise(F.lit(None)))
+    named, found = features.feature_frame(other, extra_labels=["New one"]), features.feature_frame(other)
+    assert len(features.feature_columns(named)) == 215 and named.columns == found.columns
+    total, own = found.agg(F.sum("total_credit"), F.sum("`credit_sum__New one`")).first()
+    assert 0 < own < total
 
 
 def test_point_in_time(spark):

@@ -34,12 +34,15 @@ LAGS = (1, 2, 3, 6)
 SPANS = (3, 6)
 
 
-def discover_labels(canonical: DataFrame, most: int = 1000) -> list[str]:
-    """Labels present in a table, for use as pivot columns. Too many for columns is an error, never a silent cut."""
-    found = [row[0] for row in canonical.select("transaction_label").distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"More than {most} labels; group them before pivoting")
-    return sorted(found)
+def discover_labels(canonical: DataFrame) -> list[str]:
+    """Labels present in a table. They become columns, so they are few by nature: all of them come to the driver."""
+    return sorted(row[0] for row in canonical.select("transaction_label").dropna().distinct().collect())
+
+
+def pivot_labels(canonical: DataFrame, labels: list[str] | None = None, extra_labels: list[str] = ()) -> list[str]:
+    """Labels to pivot: the given ones and the extra ones, or all standard ones and every other one in the table."""
+    base = list(LABELS) + discover_labels(canonical) if labels is None else list(labels)
+    return list(dict.fromkeys(base + list(extra_labels)))
 
 
 def pivot_columns(labels: list[str]) -> list[str]:
@@ -56,10 +59,13 @@ def _sum(value: Column, scale: int | None) -> Column:
 
 
 def monthly_totals(
-    canonical: DataFrame, labels: list[str] = LABELS, extra_labels: list[str] = (), scale: int | None = None
+    canonical: DataFrame, labels: list[str] | None = None, extra_labels: list[str] = (), scale: int | None = None
 ) -> DataFrame:
-    """Totals, ratios, activity and label pivot per client-month, from one aggregation."""
-    every = list(labels) + [name for name in extra_labels if name not in labels]
+    """Totals, ratios, activity and label pivot per client-month, from one aggregation.
+
+    Without ``labels`` every label in the table gets its columns, found by one pass over the label column.
+    """
+    every = pivot_labels(canonical, labels, extra_labels)
 
     def total(measure: str, condition: Column | None = None) -> Column:
         value = F.col(measure) if condition is None else F.when(condition, F.col(measure)).otherwise(0)
@@ -137,7 +143,7 @@ def add_history(totals: DataFrame, labels: list[str] = LABELS) -> DataFrame:
 def feature_frame(
     canonical: DataFrame,
     target: DataFrame | None = None,
-    labels: list[str] = LABELS,
+    labels: list[str] | None = None,
     extra_labels: list[str] = (),
     target_name: str = TARGET,
     scale: int | None = None,
@@ -148,6 +154,7 @@ def feature_frame(
     without a target stay in the history and are dropped at the end.
     """
     totals = monthly_totals(canonical, labels, extra_labels, scale)
+    labels = LABELS if labels is None else labels  # these have lags too; further labels have their sums
     if target is None:
         return _only_finite(add_history(totals, labels), [])
     check_target_name(target_name)

@@ -221,16 +221,16 @@ def stratified_split(spark, sf_dir):
 
 @query(
     "J18_tokens",
-    f"""SELECT token, count(*) AS rows FROM (SELECT unnest(regexp_extract_all(lower(text), '{text.TOKEN}')) AS token FROM documents
-        WHERE lang = 'en') GROUP BY token""",
+    r"""SELECT token, count(*) AS rows FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS token
+        FROM documents) GROUP BY token""",
 )
 def tokens(spark, sf_dir):
-    words = tb.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(text.tokens("text")).alias("token"))
+    words = tb.table(spark, sf_dir, "documents").select(F.explode(text.tokens("text")).alias("token"))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def _categorizer(spark, sf_dir):
-    return text.train_categorizer(_documents(spark, sf_dir), "doc_id", {"max_iter": 20})
+    return text.train_categorizer(_documents(spark, sf_dir), "doc_id")
 
 
 @query("J19_categorize")

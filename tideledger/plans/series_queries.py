@@ -441,12 +441,12 @@ def autoregression(spark, sf_dir):
 @query("K07_recursive_lags")
 def recursive_lags(spark, sf_dir):
     split = forecast.split_series(forecast.total_series(tb.canonical(spark, sf_dir), scale=2), horizon=3)
-    return lagmodels.recursive_lag_forecast(split, {"n_estimators": 30})
+    return lagmodels.recursive_lag_forecast(split)
 
 
 @query("K08_pooled_lags")
 def pooled_lags(spark, sf_dir):
-    return lagmodels.pooled_lag_forecast(prepared(spark, sf_dir), "net_flow", 3, {"iterations": 20})
+    return lagmodels.pooled_lag_forecast(prepared(spark, sf_dir), "net_flow", 3)
 
 
 @query("K09_trend_season")

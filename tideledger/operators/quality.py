@@ -11,20 +11,36 @@ from tideledger.schemas import check_target_name, resolve_target
 
 
 def profile(df: DataFrame, liquidity: DataFrame | None = None, target: DataFrame | None = None) -> DataFrame:
-    """One row describing a canonical table, in one aggregation."""
+    """One row describing a canonical table.
+
+    Several distinct counts in one aggregation would copy every row per count. Instead rows are summed once per client
+    and once per (month, label, currency), of which there are few; the counts are taken from those.
+    """
     missing = sum(F.col(name).isNull().cast("int") for name in ("client_id", "month", "debit_sum", "credit_sum"))
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("client_id").alias("clients"),
+    clients = df.groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(missing).alias("missing"),
+        F.max(flag(F.col("debit_sum") > 0)).alias("debit"),
+        F.max(flag(F.col("credit_sum") > 0)).alias("credit"),
+    )
+    none = F.lit(0).cast("long")
+    whole = clients.agg(
+        F.coalesce(F.sum("n"), none).alias("rows"),
+        F.count("client_id").alias("clients"),
+        F.coalesce(F.max("debit"), none).alias("has_debit"),
+        F.coalesce(F.max("credit"), none).alias("has_credit"),
+        F.coalesce(F.sum("missing") / F.sum("n") / 4.0 * 100.0, F.lit(0.0)).alias("missing_percent"),
+    )
+    kinds = df.select("month", "transaction_label", "currency").distinct().agg(
         F.min("month").alias("first_month"),
         F.max("month").alias("last_month"),
         F.count_distinct("month").alias("months"),
         F.count_distinct("transaction_label").alias("labels"),
-        F.coalesce(F.max(flag(F.col("debit_sum") > 0)), F.lit(0)).alias("has_debit"),
-        F.coalesce(F.max(flag(F.col("credit_sum") > 0)), F.lit(0)).alias("has_credit"),
         F.count_distinct("currency").alias("currency_count"),
-        F.coalesce(F.avg(missing) / 4.0 * 100.0, F.lit(0.0)).alias("missing_percent"),
-    ).select(
+    )
+    names = ["rows", "clients", "first_month", "last_month", "months", "labels", "has_debit", "has_credit", "currency_count", "missing_percent"]
+    both = whole.unionByName(kinds, allowMissingColumns=True)  # two rows, each with its own columns
+    return both.agg(*[F.max(name).alias(name) for name in names]).select(
         "*",
         (F.col("currency_count") > 1).cast("long").alias("multiple_currencies"),
         F.lit(int(liquidity is not None)).cast("long").alias("has_balance"),

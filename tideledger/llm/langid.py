@@ -114,7 +114,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pd.DataFrame({"lang": name, "slot": used.astype(np.int32), "n": own[used]})
 
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).dropna()
-    rows = labelled.mapInPandas(count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = labelled.mapInPandas(count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(rows["lang"].unique())
     counts = np.zeros((SLOTS + len(NAMES), max(1, len(languages))))
     counts[rows["slot"].to_numpy(int), rows["lang"].map({n: i for i, n in enumerate(languages)}).to_numpy(int)] = rows["n"].to_numpy(float)

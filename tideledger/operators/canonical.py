@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -138,6 +139,22 @@ def require_single_currency(df: DataFrame, combine_currencies: bool, fx: DataFra
     return df
 
 
+def packed_order(moment: Column, balance: Column, kind: Column | None = None, place: Column | None = None) -> Column:
+    """One fixed-width number that orders balances by moment, kind (0-9), place (below 10 million) and balance.
+
+    Balances are told apart to the cent, within 5 billion either way; beyond that equal moments may swap. As one decimal
+    it keeps ``monthly_balances`` a hash aggregate, which a struct would not.
+    """
+    zero = F.lit(0).cast("decimal(20,0)")
+    cents = F.least(F.greatest(F.round(balance * 100) + 5e11, F.lit(0.0)), F.lit(1e12 - 1)).cast("decimal(12,0)")
+    kinds = F.coalesce(kind.cast("decimal(1,0)"), zero) if kind is not None else zero
+    places = F.least(place, F.lit(9_999_999)).cast("decimal(7,0)") if place is not None else zero
+    return (
+        F.unix_micros(moment.cast("timestamp")).cast("decimal(18,0)") * F.lit(Decimal(10**20))
+        + (kinds * F.lit(Decimal(10**19)) + places * F.lit(Decimal(10**12)) + cents)
+    ).cast("decimal(38,0)")
+
+
 def monthly_balances(
     observations: DataFrame, order: list[str], first: str = "balance", last: str = "balance", threshold: float = 0.0
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tideledger.functions.scalars import directions, field_number, flag, label, moment_of, month_of
-from tideledger.operators.canonical import canonical_monthly, canonical_rows, monthly_balances
+from tideledger.operators.canonical import canonical_monthly, canonical_rows, monthly_balances, packed_order
 from tideledger.sources.tabular import SourceError, find_table, first_column
 
 # Accepted column names, in order of preference.
@@ -110,4 +110,5 @@ def to_liquidity(tables: dict[str, DataFrame], threshold: float = 0.0, day_first
         seen = plain.withColumnRenamed("account", "client_id").dropna(subset=["client_id"])
     else:
         seen = with_company(plain, account_companies(tables) if account else None, SINGLE)
-    return monthly_balances(seen, ["moment", "balance"], threshold=threshold)
+    ordered = seen.withColumn("order", packed_order(F.col("moment"), F.col("balance")))
+    return monthly_balances(ordered, ["order"], threshold=threshold)

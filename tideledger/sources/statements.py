@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tideledger.functions.scalars import category_of, category_text, flag, month_of, parse_moment, parse_number, truthy
-from tideledger.operators.canonical import canonical_rows, monthly_balances
+from tideledger.operators.canonical import canonical_rows, monthly_balances, packed_order
 from tideledger.sources.tabular import LINES, suffix
 
 TEXT = T.StringType()
@@ -67,13 +67,17 @@ def _client() -> Column:
     ).alias("client_id")
 
 
-def transactions(df: DataFrame, day_first: bool = False, unreadable: bool = False) -> DataFrame:
-    """One row per transaction with a readable date (or ``unreadable``: without), in statement order (``place``)."""
+def _chosen() -> Column:
+    """The statement's transactions, under either of the two names."""
     empty = F.array().cast(T.ArrayType(TRANSACTION))
-    chosen = F.when(F.size(F.coalesce("transactions", empty)) > 0, F.col("transactions")).otherwise(
+    return F.when(F.size(F.coalesce("transactions", empty)) > 0, F.col("transactions")).otherwise(
         F.coalesce("transaction_details", empty)
     )
-    flat = df.select(_client(), "currency", F.posexplode(chosen).alias("place", "item")).where("item is not null")
+
+
+def transactions(df: DataFrame, day_first: bool = False, unreadable: bool = False) -> DataFrame:
+    """One row per transaction with a readable date (or ``unreadable``: without), in statement order (``place``)."""
+    flat = df.select(_client(), "currency", F.posexplode(_chosen()).alias("place", "item")).where("item is not null")
     day = F.coalesce(F.nullif(F.col("item.date"), F.lit("")), F.col("item.transaction_date"))
     parts = flat.select(
         "client_id",
@@ -138,21 +142,23 @@ def to_liquidity(df: DataFrame, threshold: float = 0.0, day_first: bool = False)
     On the same day transactions come first, then openings, then closings.
     """
 
-    def reading(kind: int, day: str, text: str) -> Column:
-        return F.struct(
-            parse_moment(day, day_first).alias("moment"), F.lit(kind).alias("kind"), F.col(text).alias("text")
-        )
+    def end(kind: int, day: str, text: str) -> Column:
+        return F.struct(F.col(day).alias("day"), F.lit(kind).alias("kind"), F.lit(0).alias("place"), F.col(text).alias("text"))
 
-    moves = transactions(df, day_first).select(
-        "client_id", "moment", F.lit(0).alias("kind"), "place", F.col("balance_text").alias("text")
-    )
-    ends = df.select(
-        _client(),
-        F.inline(F.array(reading(1, "start_date", "opening_balance"), reading(2, "end_date", "closing_balance"))),
-    ).select("client_id", "moment", "kind", F.lit(0).alias("place"), "text")
-    seen = (
-        moves.unionByName(ends)
-        .where("moment is not null and text is not null")
-        .select("client_id", month_of(F.col("moment")).alias("month"), "moment", "kind", "place", parse_number("text").alias("balance"))
+    def move(item: Column, place: Column) -> Column:
+        day = F.coalesce(F.nullif(item["date"], F.lit("")), item["transaction_date"])
+        return F.struct(day.alias("day"), F.lit(0).alias("kind"), place.alias("place"), F.nullif(item["balance"], F.lit("")).alias("text"))
+
+    # Transactions and both ends of a statement from one scan.
+    ends = F.array(end(1, "start_date", "opening_balance"), end(2, "end_date", "closing_balance"))
+    flat = df.select(_client(), F.inline(F.concat(F.transform(_chosen(), move), ends))).where("day is not null and text is not null")
+    seen = flat.select(
+        "client_id", parse_moment("day", day_first).alias("moment"), "kind", "place", parse_number("text").alias("balance")
+    ).where("moment is not null")
+    ordered = seen.select(
+        "client_id",
+        month_of(F.col("moment")).alias("month"),
+        "balance",
+        packed_order(F.col("moment"), F.col("balance"), F.col("kind"), F.col("place")).alias("order"),
     )
-    return monthly_balances(seen, ["moment", "kind", "place", "balance"], threshold=threshold)
+    return monthly_balances(ordered, ["order"], threshold=threshold)

@@ -51,6 +51,20 @@ def test_classifier_contract(spark, frame, name, chosen):
         result.save(scratch(spark, "model"))
 
 
+def test_boosting_keeps_the_best_rounds(frame):
+    assert classify.best_rounds([5.0, 4.0, 3.0, 3.5, 2.0]) == 5
+    assert classify.best_rounds([5.0, 4.0, 6.0, 6.0, 6.0, 1.0], patience=3) == 2
+    whole = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2, "early_stopping": False})
+    best = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2})
+    kept = best.model.getNumTrees
+    assert whole.model.getNumTrees == 12 and 1 < kept <= 12
+    shorter = classify.first_rounds(whole.model, 5)
+    assert shorter.getNumTrees == 5 and shorter.treeWeights == whole.model.treeWeights[:5]
+    assert shorter.toDebugString.split("Tree 1 ")[1].split("Tree 2 ")[0] == whole.model.toDebugString.split("Tree 1 ")[1].split("Tree 2 ")[0]
+    with pytest.raises(ValueError):
+        classify.train_classifier(frame, "prior", {"strategy": "stratified"})
+
+
 def test_unknown_model(frame):
     with pytest.raises(ValueError):
         classify.train_classifier(frame, "oracle")

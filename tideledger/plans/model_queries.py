@@ -8,7 +8,7 @@ from tideledger.functions.flags import union_flags
 from tideledger.operators import classify, compare, explain, features, forecast, ledger, scoring, text
 from tideledger.plans import testbed as tb
 from tideledger.plans.catalog import query, with_sql
-from tideledger.plans.series_queries import _history, _PREPARED, _REASONS
+from tideledger.plans.series_queries import _history, _PREPARED, FEATURES_SQL, _REASONS, _SEVERITY_SQL
 from tideledger.plans.table_queries import prepared
 from tideledger.session import scratch, stage
 from tideledger.sources import registry, sinks
@@ -192,9 +192,28 @@ def score_table(spark, sf_dir):
     return scoring.score_table(scored, 0.55).drop("percentile")
 
 
-@query("F09_predictions_with_reasons")
+@query(
+    "F09_predictions_with_reasons",
+    with_sql(
+        tb.GAPS_SQL,
+        tb.CANONICAL_SQL.removeprefix(f"{tb.LINES_SQL}, "),
+        FEATURES_SQL,
+        _SEVERITY_SQL,
+        "scores AS (SELECT * FROM target WHERE cash_gap_next_month IS NOT NULL)",
+        _MONTHS_SQL,
+        """parted AS (SELECT * FROM scores JOIN parts USING (month))""",
+        """SELECT client_id, month AS scoring_month, round((SELECT avg(cash_gap_next_month) FROM parted WHERE split = 'train'), 9) AS risk_score,
+             CAST(cash_gap_next_month AS INT) AS actual_cash_gap_next_month,
+             CAST((SELECT sum(cash_gap_next_month) > 0 OR (SELECT avg(cash_gap_next_month) FROM parted WHERE split = 'train') >= 0.5
+                   FROM parted WHERE split = 'validation') AS BIGINT) AS predicted_cash_gap,
+             row_number() OVER (PARTITION BY month ORDER BY client_id) AS risk_rank, 'high' AS risk_group,
+             names[1] AS top_reason_1, names[2] AS top_reason_2, names[3] AS top_reason_3
+           FROM parted JOIN filled USING (client_id, month) WHERE split = 'test'""",
+    ),
+)
 def predictions_with_reasons(spark, sf_dir):
-    return classify.train_classifier(frame(spark, sf_dir), "prior").predictions(texts=True)
+    found = classify.train_classifier(frame(spark, sf_dir), "prior").predictions()
+    return found.withColumn("risk_score", F.round("risk_score", 9))
 
 
 # Text ------------------------------------------------------------------------------------------------------------

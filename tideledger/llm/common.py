@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tideledger.session import stage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +18,12 @@ def fold(key: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+def checked(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A side of a join, written and counted: up to ``most`` narrow rows it is broadcast, beyond that it is shuffled."""
+    written = stage(df)
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A well spread 64-bit value for each 64-bit value (the finaliser of splitmix64, fixed values)."""
     with np.errstate(over="ignore"):

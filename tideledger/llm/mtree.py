@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tideledger.session import stage
 
 #: Candidates of a shard, queries of a block, members of a page, and vectors drawn to choose the shards' pivots.
-SHARD, BLOCK, PAGE, SAMPLE = 8192, 1024, 64, 2048
+SHARD, BLOCK, PAGE, SAMPLE = 8192, 1024, 512, 2048
 
 
 def digits(df: DataFrame, key: str, vector: str, scale: int = 256) -> DataFrame:
@@ -48,6 +48,7 @@ class Tree:
     def __init__(self, points: np.ndarray, ids: np.ndarray, page: int = PAGE):
         norms = (points.astype(object) ** 2).sum(axis=1) if len(points) and abs(points).max() > 2**26 else (points**2).sum(axis=1)
         self.points, self.ids, self.top = points, ids, int(max(norms, default=0))
+        self.real = points.astype(float)  # exact, and fast, while products stay below 2^53
         # The further component that lifts every norm to the largest one; real numbers are used for bounds only.
         self.lifted = np.column_stack([points.astype(float), np.sqrt(np.array([self.top - int(n) for n in norms], float))]) if len(points) else np.zeros((0, 1))
         self.nodes: list[tuple] = []  # (routing vector, radius, distance to the parent's routing vector, children or None, members, their distances)
@@ -85,6 +86,7 @@ class Tree:
         q = np.append(query.astype(float), 0.0)
         square = float((query.astype(float) ** 2).sum())
         slack = 1e-6 * (1.0 + square + self.top)
+        real, exact = query.astype(float), square < 2.0**52 and self.top < 2.0**52  # so is every product, by Cauchy-Schwarz
 
         def highest(distance: float) -> float:
             """Upper bound of the score of anything at least so far away."""
@@ -106,7 +108,10 @@ class Tree:
                     members = members[(square + self.top - gap**2) / 2 + slack >= best[0][0]]
                 if not len(members):
                     continue
-                scores = self.points[members] @ query
+                scores = self.real[members] @ real if exact else self.points[members] @ query
+                if len(best) == k:  # an equal score can still win by its key
+                    good = scores >= best[0][0]
+                    scores, members = scores[good], members[good]
                 order = np.lexsort((self.ids[members], -scores))
                 taken = 0
                 for i in order:

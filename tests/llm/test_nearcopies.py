@@ -1,0 +1,62 @@
+import random
+
+import pytest
+
+import corpus_pipeline as pipeline
+from tideledger.llm import nearcopies, simhash
+
+from test_duplicates import prose
+
+
+def slow_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited(text, places, seed):
+    words, rng = text.split(), random.Random(seed)
+    for at in rng.sample(range(len(words)), places):
+        words[at] = f"edit{seed}x{at}"
+    return " ".join(words)
+
+
+def slow_components(texts):
+    sets, label = {k: slow_set(t) for k, t in texts.items()}, {k: k for k in texts}
+    for i in texts:
+        for j in texts:
+            both = len(sets[i] & sets[j])
+            if i < j and both >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("frequent,more", [(200_000, 32), (0, 2)])
+def test_components_equal_brute_force(spark, documents, monkeypatch, frequent, more):
+    monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
+    monkeypatch.setattr(nearcopies, "MORE", more)
+    line = "one line that stands in all of these texts here"
+    texts, key = {}, 100
+    for base in range(6):
+        text = f"{line} {prose(80 + 40 * base, 700 + base)}"
+        for copy in range(8):  # pairs on both sides of the limit, and chains
+            texts[key] = edited(text, copy % 4 * (1 + base // 2), key)
+            key += 1
+    chain = prose(150, 900)
+    for step in range(8):
+        chain = edited(chain, 2, 5000 + step)
+        texts[key] = chain
+        key += 1
+    texts |= {1: "few words only", 2: "Few  words\nonly", 3: "", 4: None, 5: "few words", 90: " ".join(texts[100].upper().split())}
+    out = nearcopies.near_copies(documents(list(texts.items()))).collect()
+    assert {r.doc_id: r.component_id for r in out} == slow_components(texts) and len(out) == len(texts)
+    assert nearcopies.near_copies(documents([])).count() == 0
+
+
+def test_stage_finds_near_copies_that_fingerprints_miss(spark, documents):
+    base = prose(300, 40)
+    rows = [(7, base)] + [(10 + i, edited(base, 5, i)) for i in range(12)] + [(50, prose(300, 41))]
+    far = [bin(simhash.fingerprint(base) ^ simhash.fingerprint(t)).count("1") for _, t in rows[1:-1]]
+    assert max(far) > 2 and all(5 * 5 < 0.1 * 296 for _ in far)
+    kept = pipeline.near_duplicates(spark, documents(rows, clash=False), "").collect()
+    assert sorted(r.doc_id for r in kept) == [7, 50]

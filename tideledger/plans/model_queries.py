@@ -58,20 +58,17 @@ def logistic_regression(spark, sf_dir):
 
 @query("J04_random_forest")
 def random_forest(spark, sf_dir):
-    chosen = {"n_estimators": 20, "max_depth": 8}
-    return classify.train_classifier(frame(spark, sf_dir), "random_forest", chosen).predictions()
+    return classify.train_classifier(frame(spark, sf_dir), "random_forest").predictions()
 
 
 @query("J05_boosted_trees")
 def boosted_trees(spark, sf_dir):
-    chosen = {"iterations": 10, "depth": 4, "learning_rate": 0.2}
-    return classify.train_classifier(frame(spark, sf_dir), "boosted_trees", chosen).predictions()
+    return classify.train_classifier(frame(spark, sf_dir), "boosted_trees").predictions()
 
 
 @query("J06_boosted_leaves")
 def boosted_leaves(spark, sf_dir):
-    chosen = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2}
-    return classify.train_classifier(frame(spark, sf_dir), "boosted_leaves", chosen).predictions()
+    return classify.train_classifier(frame(spark, sf_dir), "boosted_leaves").predictions()
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideledger.llm import bpe, decontaminate, langid, mtree, passages, pitmanyor, ruleset, sharding, simhash, warc
+from tideledger.llm import audit, bpe, decontaminate, fingerprint, langid, mtree, passages, periodic, pitmanyor, ruleset, sharding, simhash, warc
 from tideledger.llm.common import fold, table
 from tideledger.session import scratch, stage
 
@@ -166,3 +166,72 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pitmanyor.train(docs.filter(fold("doc_id", 7) != 2))
     found = pitmanyor.score(docs, model, keep={"held_out": fold("doc_id", 7) == 2})
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+#: Every document's failing filters as a bit mask; a prefix removes the masks it meets.
+_AUDIT = r"""
+WITH body AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+measured AS (
+    SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals,
+        min(doc_id) OVER (PARTITION BY t) AS first
+    FROM body
+),
+failed AS (
+    SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * capitals > 5 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(first < doc_id, false)] AS f
+    FROM measured
+),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+classes AS (
+    SELECT part, list_sum(list_transform(range(5), lambda i: CASE WHEN f[i + 1] THEN 1 << i::INT ELSE 0 END))::INT AS mask,
+        count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM failed LEFT JOIN marks USING (doc_id) GROUP BY 1, 2
+),
+letter AS (SELECT i::INT AS i, substr('ABCDE', i::INT + 1, 1) AS c FROM range(5) t(i)),
+orders AS (
+    SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+steps AS (
+    SELECT filter_order, s::INT AS step, substr(filter_order, s::INT, 1) AS filter,
+        list_sum(list_transform(range(1, 6), lambda k: CASE WHEN k < s THEN 1 << (instr('ABCDE', substr(filter_order, k::INT, 1)) - 1)::INT ELSE 0 END))::INT AS before,
+        (1 << (instr('ABCDE', substr(filter_order, s::INT, 1)) - 1)::INT) AS own
+    FROM orders, range(1, 6) t(s)
+),
+counted AS (
+    SELECT part, filter_order, step, filter,
+        sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM classes, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+    unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM counted
+"""
+
+
+@register("op11_filter_audit", _AUDIT)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op12_bottom_k_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    h, n = fold("doc_id", 2**32), F.size(decontaminate.words_of(F.col("text"))).cast("long")
+    g = F.floor(h / 10)
+    repeats = (h % 10 == 0) & (n > 0)  # only these texts are split here
+    a = F.when(repeats, g % n)
+    period = F.when(repeats, 1 + F.floor((n - g % n) / (3 + g % 8)))
+    found = periodic.detect(docs, again=(a, period))
+    return found.drop("runs")

@@ -60,11 +60,12 @@ def test_no_rows_no_labels_and_nothing_failing(spark):
 
 def test_own_filters_and_ids(spark):
     """The audit itself takes any id tables; ids that no unit has count for nothing."""
-    units = spark.createDataFrame([(i, "p", 1, i % 2) for i in range(10)] + [(None, "p", 5, 1)], "id int, p string, n int, odd int")
+    units = spark.createDataFrame([(i, "p", 1, i % 2) for i in range(10)] + [(30, "p", 5, 1), (None, "q", 4, 1)], "id int, p string, n int, odd int")
     small = spark.createDataFrame([(0,), (1,), (2,), (77,)], "id int")
-    null = spark.createDataFrame([(None,), (2,)], "id int")
+    null = spark.createDataFrame([(30,), (2,), (None,)], "id int")
     got = {tuple(r) for r in audit.audit(units, {"x": small, "y": null}, ["id"], "p", "n", {"odd_lost": "odd"}).collect()}
-    assert got == {
+    assert {r[3:] for r in got if r[0] == "q"} == {("x", 4, 0, 0, 0, 0, 0), ("y", 4, 0, 0, 0, 0, 0)}
+    assert {r for r in got if r[0] == "p"} == {
         ("p", "xy", 1, "x", 12, 3, 0, 2, 1, 5),
         ("p", "xy", 2, "y", 7, 5, 1, 5, 5, 11),
         ("p", "yx", 1, "y", 9, 6, 0, 5, 5, 11),

@@ -3,8 +3,9 @@
 Each filter stores the ids that fail it as a table of its own. Those relations alone say everything: the survivors of a
 prefix are the ids left by anti-joins with its filters' relations, what the next filter removes is a semi-join of these
 survivors with its relation, and what it fails beyond that was removed before. A prefix's survivors don't depend on its
-order, so each set of filters is joined once, all sets in one pass per filter: two joins for every filter, whatever the
-number of orders. Ids that fail nothing survive everywhere; they are counted, not joined.
+order, and all sets of filters go through the same two joins: one row for each id and set of filters is anti-joined with
+the relations of that set, what is left with a further filter is semi-joined with that filter's relation. Ids that fail
+nothing survive everywhere; they are counted, not joined.
 """
 
 from __future__ import annotations
@@ -60,10 +61,6 @@ def relations(rows: DataFrame, conditions: dict[str, Column], id_columns: list[s
     return {name: stage(rows.filter(failing).select(*id_columns).distinct()) for name, failing in conditions.items()}
 
 
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
-
-
 def audit(units: DataFrame, failing: dict[str, DataFrame], id_columns: list[str], part: str, rows: str, losses: dict[str, str]) -> DataFrame:
     """One row for each part, order of the filters and step.
 
@@ -72,37 +69,38 @@ def audit(units: DataFrame, failing: dict[str, DataFrame], id_columns: list[str]
 
     ``<part>, filter_order, step, filter, kept, removed, redundant, unique_fails, <losses>, shapley``: rows left after
     the step, removed by it, failing its filter but removed before, failing no other filter, removed rows with each 0/1
-    column, and the rows that this filter removes summed over all orders. Ids may be null; ids that are in a relation but
-    not in ``units`` count for nothing. Without units the result is empty.
+    column, and the rows that this filter removes summed over all orders. A null in an id is equal to nothing, so it fails
+    nothing; ids that are in a relation but not in ``units`` count for nothing. Without units the result is empty.
     """
     names = list(failing)
     bit = {name: 1 << i for i, name in enumerate(names)}
     everything = (1 << len(names)) - 1
     carried = [*id_columns, part, rows, *losses.values()]
 
-    some = reduce(DataFrame.unionByName, failing.values()).distinct()
-    touched = stage(units.select(*carried).join(some, _same(units, some, id_columns), "left_semi"))
-    # Survivors of every set of filters, by one anti-join a filter; nobody survives of an id's own failing filters.
-    survivors = touched.withColumn("_set", F.lit(0))
-    for name in names:
-        left = survivors.join(failing[name], _same(survivors, failing[name], id_columns), "left_anti")
-        survivors = stage(survivors.unionByName(left.withColumn("_set", F.col("_set") + bit[name])))
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return reduce(lambda x, y: x & y, [a[c] == b[c] for c in id_columns])
+
+    related = reduce(DataFrame.unionByName, [ids.select(*id_columns, F.lit(bit[name]).alias("_bit")) for name, ids in failing.items()])
+    touched = units.select(*carried).join(related.select(*id_columns).distinct(), id_columns, "left_semi")
+    # Dealt by id before it has a row for each set, so that the rows of the sets aren't shuffled.
+    sets = F.explode(F.array(*[F.lit(s) for s in range(everything + 1)]))
+    spread = touched.repartition(*id_columns).withColumn("_set", sets)
+    survivors = stage(spread.join(related, same(spread, related) & (spread["_set"].bitwiseAND(related["_bit"]) != 0), "left_anti"))
 
-    counts = [F.sum(rows).alias("_rows"), *[F.sum(F.col(c) * F.col(rows)).alias(new) for new, c in losses.items()]]
     alive = survivors.groupBy(part, "_set").agg(F.sum(rows).alias("_alive"))
-    removals = []
-    for name in names:  # behind each set without this filter
-        before = survivors.filter(F.col("_set").bitwiseAND(F.lit(bit[name])) == 0)
-        gone = before.join(failing[name], _same(before, failing[name], id_columns), "left_semi")
-        removals.append(gone.groupBy(part, "_set").agg(*counts).withColumn("filter", F.lit(name)))
-    removed = stage(reduce(DataFrame.unionByName, removals))
+    further = F.explode(F.filter(F.array(*[F.lit(b) for b in bit.values()]), lambda b: b.bitwiseAND(F.col("_set")) == 0))
+    ahead = survivors.withColumn("_next", further)
+    gone = ahead.join(related, same(ahead, related) & (ahead["_next"] == related["_bit"]), "left_semi")
+    counts = [F.sum(rows).alias("_rows"), *[F.sum(F.col(c) * F.col(rows)).alias(new) for new, c in losses.items()]]
+    name_of = F.element_at(F.create_map(*[x for n in names for x in (F.lit(bit[n]), F.lit(n))]), F.col("_next"))
+    removed = stage(gone.groupBy(part, "_set", "_next").agg(*counts).withColumn("filter", name_of).drop("_next"))
     totals = units.groupBy(part).agg(F.sum(rows).alias("_total"))
-    listed = touched.groupBy(part).agg(F.sum(rows).alias("_touched"))
+    listed = alive.filter("_set = 0").select(part, F.col("_alive").alias("_touched"))
 
     steps = [("".join(order), i + 1, name, sum(bit[n] for n in order[:i])) for order in permutations(names) for i, name in enumerate(order)]
     grid = F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(n).alias("filter"), F.lit(m).alias("_set")) for o, s, n, m in steps])
-    plan = stage(totals.join(listed, _same(totals, listed, [part]), "left").select(totals[part], "_total", F.coalesce("_touched", F.lit(0)).alias("_touched")))
-    table = plan.select(part, "_total", "_touched", F.explode(grid).alias("_step")).select(part, "_total", "_touched", "_step.*")
+    counted = totals.join(listed, totals[part].eqNullSafe(listed[part]), "left").select(totals[part], "_total", F.coalesce("_touched", F.lit(0)).alias("_touched"))
+    table = counted.select(part, "_total", "_touched", F.explode(grid).alias("_step")).select(part, "_total", "_touched", "_step.*")
     mask = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(bit[n]))])
     table = table.withColumn("_after", F.col("_set").bitwiseOR(mask[F.col("filter")]))
 
@@ -142,10 +140,11 @@ def audit_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     """
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
     measured, conditions = failures(named)
-    ids = ["doc_id", "_body"]
+    ids = ["_id", "_none", "_body"]
+    measured = measured.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
     failing = relations(measured, conditions, ids)
     marks = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id"))
     marks = marks.agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    units = measured.groupBy(*ids, "part").agg(F.count(F.lit(1)).alias("rows")).join(marks, "doc_id", "left")
+    units = measured.groupBy(*ids, "doc_id", "part").agg(F.count(F.lit(1)).alias("rows")).join(marks, "doc_id", "left")
     units = stage(units.withColumns({c: F.coalesce(c, F.lit(0)) for c in LOSSES.values()}))
     return audit(units, failing, ids, "part", "rows", LOSSES)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import months, monthly, rows, short
-from tideledger.operators import canonical as can, classify, features, text
+from tideledger.operators import boosting, canonical as can, classify, compare, features, text
 from tideledger.session import scratch, shared_dir, stage
 from tideledger.sources import sinks
 from tideledger.streaming import canonical_stream
@@ -51,20 +51,28 @@ def test_classifier_contract(spark, frame, name, chosen):
         result.save(scratch(spark, "model"))
 
 
-def test_boosting_keeps_the_best_rounds(frame):
-    assert classify.best_rounds([5.0, 4.0, 3.0, 3.5, 2.0]) == 5
-    assert classify.best_rounds([5.0, 4.0, 6.0, 6.0, 6.0, 1.0], patience=3) == 2
+def test_boosting_stops_and_keeps_the_best_rounds(spark, frame):
     whole = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2, "early_stopping": False})
     best = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2})
-    kept = best.model.getNumTrees
-    assert whole.model.getNumTrees == 12 and 1 < kept <= 12
-    shorter = classify.first_rounds(whole.model, 5)
-    assert shorter.getNumTrees == 5 and shorter.treeWeights == whole.model.treeWeights[:5]
-    assert shorter.toDebugString.split("Tree 1 ")[1].split("Tree 2 ")[0] == whole.model.toDebugString.split("Tree 1 ")[1].split("Tree 2 ")[0]
+    kept = len(best.model.trees)
+    assert len(whole.model.trees) == 12 and 1 <= kept <= 12
+    assert best.model.losses.index(min(best.model.losses)) == kept
+    path = scratch(spark, "trees")
+    best.save(path)
+    again = boosting.Boosted.load(spark, path)
+    assert again.trees == best.model.trees and again.base == best.model.base
     with pytest.raises(ValueError):
         classify.train_classifier(frame, "prior", {"strategy": "stratified"})
 
 
+def test_signed_parts_add_up_to_the_score(frame):
+    result = classify.train_classifier(frame, "boosted_leaves", {"n_estimators": 4, "min_child_samples": 5})
+    found = result.scored.withColumn("parts", result.contributions()).select("parts", "risk_score").collect()
+    for row in found:
+        assert result.model.bias + sum(row["parts"]) == pytest.approx(np.log(row["risk_score"] / (1 - row["risk_score"])), abs=1e-9)
+    assert any(abs(x) > 0 for row in found for x in row["parts"])
+
+
 def test_unknown_model(frame):
     with pytest.raises(ValueError):
         classify.train_classifier(frame, "oracle")
@@ -169,3 +177,24 @@ def test_pages_and_previews(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert spark.conf.get("spark.checkpoint.dir") in shared_dir(spark)
+
+
+def test_classifiers_under_one_contract(frame):
+    contract = compare.Contract("cash_gap_next_month", task=compare.CLASSIFICATION)
+
+    def broken(data, contract, parameters):
+        raise RuntimeError("no such luck")
+
+    registry = {**compare.MODELS, "broken": (compare.CLASSIFICATION, broken)}
+    wanted = ["prior", "broken", "logistic_regression", "prior"]
+    done = compare.run_benchmark(frame, wanted, contract, {"logistic_regression": {"max_iter": 20}}, registry)
+    assert list(done.failures) == ["broken"] and "no such luck" in done.failures["broken"]
+    counts = {r["model_id"]: r["count"] for r in done.predictions.groupBy("model_id").count().collect()}
+    assert counts == {"prior": 90, "logistic_regression": 90}
+    table = {r["model_id"]: r for r in compare.compare(done.metrics, names=compare.CLASSIFIER_METRICS).collect()}
+    assert table["prior"]["roc_auc"] == 0.5 and table["logistic_regression"]["roc_auc"] > 0.8
+    assert {r["risk_rank"] for r in done.predictions.filter("model_id = 'prior'").collect()} == set(range(1, 31))
+    with pytest.raises(ValueError):
+        compare.run_benchmark(frame, ["seasonal_naive"], contract)
+    with pytest.raises(RuntimeError):
+        compare.run_benchmark(frame, ["broken"], contract, registry=registry)

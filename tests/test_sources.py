@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from helpers import rows, short
 from tideledger.functions import scalars as S
 from tideledger.schemas import CANONICAL_COLUMNS
@@ -199,18 +201,61 @@ def test_source_capabilities():
 
 
 def test_dates_in_many_forms(spark):
-    from tideledger.functions.scalars import parse_moment
-
-    texts = ["2022-09-01", "2022-09-01T10:30:00", "2022/09/01 00:20", "2022/9/1", "05/01/2025", "25/12/2024", "1.2.2024", "25-12-2024 8:05", "3 Mar 2024", "Mar 3, 2024", " 2024-02-30 ", "soon", "", None]
+    from tideledger.functions.dates import parse_moment
+
+    both = {
+        "2022-09-01": "2022-09-01 00:00:00", "2022-09-01T10:30:00": "2022-09-01 10:30:00", "2022/09/01 00:20": "2022-09-01 00:20:00",
+        "2022/9/1": "2022-09-01 00:00:00", "2022/09/01 00:20:11.5": "2022-09-01 00:20:11.500000", "20250105": "2025-01-05 00:00:00",
+        "20250105 7:08": "2025-01-05 07:08:00", "20250105T070809": "2025-01-05 07:08:09", "1.2.2024": "2024-02-01 00:00:00",
+        "3 Mar 2024": "2024-03-03 00:00:00", "3-MAR-2024": "2024-03-03 00:00:00", "Mar 3, 2024": "2024-03-03 00:00:00", "Jan 5 2025": "2025-01-05 00:00:00",
+        "5 January 2025 11:59 pm": "2025-01-05 23:59:00", "Sept. 5, 2025": "2025-09-05 00:00:00", "2025-01": "2025-01-01 00:00:00",
+        " 2024-02-30 ": None, "soon": None, "": None, None: None, "45000": None, "2025": None, "3 Mai 2024": None, "1/2/3/2024": None, "31.02.2024": None,
+    }
+    one = {"05/01/2025": ("2025-05-01 00:00:00", "2025-01-05 00:00:00"), "05/01/25": ("2025-05-01 00:00:00", "2025-01-05 00:00:00")}
+    one |= {"1/5/2025 3:04 PM": ("2025-01-05 15:04:00", "2025-05-01 15:04:00"), "1/5/2025 12:04 AM": ("2025-01-05 00:04:00", "2025-05-01 00:04:00")}
+    one |= {"25-12-2024 8:05": (None, "2024-12-25 08:05:00"), "12/25/1999": ("1999-12-25 00:00:00", None), "1/2/69": ("1969-01-02 00:00:00", "1969-02-01 00:00:00")}
+    texts = [*both, *one]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    us, eu = (
-        [r[0].strftime("%Y-%m-%d %H:%M") if r[0] else None for r in df.select(parse_moment("t", day_first)).collect()]
-        for day_first in (False, True)
-    )
-    shared = ["2022-09-01 00:00", "2022-09-01 10:30", "2022-09-01 00:20", "2022-09-01 00:00"]
-    rest = ["2024-12-25 00:00", "2024-02-01 00:00", "2024-12-25 08:05", "2024-03-03 00:00", "2024-03-03 00:00", None, None, None, None]
-    assert us == [*shared, "2025-05-01 00:00", *rest]
-    assert eu == [*shared, "2025-01-05 00:00", *rest]
+    for side, day_first in enumerate((False, True)):
+        got = [str(r[0]) if r[0] else None for r in df.select(parse_moment("t", day_first)).collect()]
+        assert dict(zip(texts, got)) == both | {t: want[side] for t, want in one.items()}
+
+
+def test_a_source_has_one_order_of_dates(spark, tmp_path):
+    from tideledger.functions import dates
+
+    def column(*texts):
+        return spark.createDataFrame([(t,) for t in texts], "t string")
+
+    assert dates.day_first_of(column("05/01/2025", "25/01/2025 7:00", "2025-13-01", None), "t")
+    assert not dates.day_first_of(column("05/01/2025", "01/25/2025"), "t") and not dates.day_first_of(column("05/01/2025"), "t")
+    with pytest.raises(dates.DateOrderError):
+        dates.day_first_of(column("25/01/2025", "01/25/2025"), "t")
+    (tmp_path / "transactions.csv").write_text("date,amount,company_id\n25/01/2025,-1,k\n05/01/2025,-2,k\n")
+    moved = normalize(spark, "company_ledger", [str(tmp_path / "transactions.csv")]).canonical
+    assert [(r.month, r.debit_sum) for r in moved.collect()] == [("2025-01", 3.0)]
+    chosen = normalize(spark, "company_ledger", [str(tmp_path / "transactions.csv")], {"day_first": False}).canonical
+    assert [(r.month, r.debit_sum) for r in chosen.collect()] == [("2025-05", 2.0)]
+
+
+def test_balances_are_exact_at_any_size(spark):
+    """Ties of moment and place, balances of many digits and places beyond ten million."""
+    from tideledger.operators import canonical as can
+
+    day = F.lit("2024-01-05").cast("timestamp")
+    rows = [("c", 0, 20_000_000, 7e12), ("c", 0, 20_000_001, 7e12 + 0.001), ("c", 0, 20_000_001, 7e12 + 0.002), ("c", 2, 0, -9e11), ("c", 0, 19_999_999, 3.0), ("c", 0, 19_999_999, 2.999)]
+    df = spark.createDataFrame(rows, "client_id string, kind int, place int, balance double").withColumns({"month": F.lit("2024-01"), "order": can.packed_order(day, F.col("kind"), F.col("place"))})
+    found = can.monthly_balances(df, ["order"])
+    assert rows_of(found) == [("c", "2024-01", 2.999, -9e11, -9e11, 7e12 + 0.002, 6, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    spread = df.repartition(5).withColumn("account", F.col("place") % 3)
+    merged = can.merged_ends(can.observed_ends(spread, ["account", "client_id", "month"], "order"), ["client_id", "month"])
+    assert rows_of(can.balances_of(merged)) == rows_of(found)
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
 
 
 def test_transfers_in_another_column_order_and_in_two_files(spark, tmp_path):

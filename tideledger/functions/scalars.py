@@ -8,6 +8,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tideledger.functions.dates import moment_of, parse_moment  # noqa: F401
+
 WORD = r"\p{L}\p{N}_"
 
 
@@ -125,32 +127,6 @@ def step_time(step: Column, base: str = "2023-01-01", unit: str = "hour") -> Col
     return F.timestamp_add("MICROSECOND", span, F.lit(base).cast("timestamp_ntz"))
 
 
-#: Date texts that are read besides ISO ones, in this order. The first two are what separates sources: a day before or
-#: after the month. A text that fits only the other order (a 25th) is read in that one.
-_TIME = "[ H:mm[:ss]]"
-_YEAR_FIRST = [f"yyyy/M/d{_TIME}", f"yyyy.M.d{_TIME}"]
-_MONTH_FIRST = [f"M/d/yyyy{_TIME}", f"M-d-yyyy{_TIME}"]
-_DAY_FIRST = [f"d/M/yyyy{_TIME}", f"d-M-yyyy{_TIME}", f"d.M.yyyy{_TIME}"]
-_NAMED = ["d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
-
-
-def parse_moment(value: Column | str, day_first: bool = False) -> Column:
-    """Timestamp of date text in any of the known forms; null where it is none of them.
-
-    ``day_first`` says how a source writes 05/01/2025; dots always mean the day first.
-    """
-    text = F.trim(column(value).cast("string"))
-    numeric = _DAY_FIRST + _MONTH_FIRST if day_first else _MONTH_FIRST + _DAY_FIRST
-    # ISO text, by far the most frequent, is read first and needs no further attempt.
-    forms = [F.try_to_timestamp(text, F.lit(form)) for form in _YEAR_FIRST + numeric + _NAMED]
-    return F.coalesce(F.try_to_timestamp(text), *forms)
-
-
-def moment_of(df: DataFrame, name: str, day_first: bool = False) -> Column:
-    """Date or timestamp of a column: typed ones are used as they are, text is parsed where it can be."""
-    return parse_moment(F.col(name), day_first) if isinstance(df.schema[name].dataType, T.StringType) else F.col(name)
-
-
 def truthy(value: Column | str) -> Column:
     """Whether a field of JSON says yes: true, a number other than 0, or a text other than empty or a word for no."""
     text = F.lower(F.trim(F.coalesce(column(value).cast("string"), F.lit(""))))

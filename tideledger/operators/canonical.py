@@ -139,20 +139,58 @@ def require_single_currency(df: DataFrame, combine_currencies: bool, fx: DataFra
     return df
 
 
-def packed_order(moment: Column, balance: Column, kind: Column | None = None, place: Column | None = None) -> Column:
-    """One fixed-width number that orders balances by moment, kind (0-9), place (below 10 million) and balance.
+def packed_order(moment: Column, kind: Column | None = None, place: Column | None = None) -> Column:
+    """One fixed-width number that orders observations by moment, kind (0-9) and place (any non-negative int), exactly."""
+    zero = F.lit(0).cast("decimal(11,0)")
+    kinds = F.coalesce(kind.cast("decimal(1,0)"), zero) if kind is not None else zero
+    places = place.cast("decimal(10,0)") if place is not None else zero
+    micros = F.unix_micros(moment.cast("timestamp")).cast("decimal(18,0)")
+    return (micros * F.lit(Decimal(10**11)) + (kinds * F.lit(Decimal(10**10)) + places)).cast("decimal(30,0)")
+
+
+def observed_ends(observations: DataFrame, keys: list[str], order: str, first: str = "balance", last: str = "balance") -> DataFrame:
+    """Per group of ``keys`` the first and last balance and what lies between, exactly, by two hash aggregates.
 
-    Balances are told apart to the cent, within 5 billion either way; beyond that equal moments may swap. As one decimal
-    it keeps ``monthly_balances`` a hash aggregate, which a struct would not.
+    ``opening, closing, first_order, last_order, low, high, n``. Observations of one place in the order are put
+    together first: of equal places the smallest ``first`` opens and the greatest ``last`` closes.
     """
-    zero = F.lit(0).cast("decimal(20,0)")
-    cents = F.least(F.greatest(F.round(balance * 100) + 5e11, F.lit(0.0)), F.lit(1e12 - 1)).cast("decimal(12,0)")
-    kinds = F.coalesce(kind.cast("decimal(1,0)"), zero) if kind is not None else zero
-    places = F.least(place, F.lit(9_999_999)).cast("decimal(7,0)") if place is not None else zero
-    return (
-        F.unix_micros(moment.cast("timestamp")).cast("decimal(18,0)") * F.lit(Decimal(10**20))
-        + (kinds * F.lit(Decimal(10**19)) + places * F.lit(Decimal(10**12)) + cents)
-    ).cast("decimal(38,0)")
+    low = F.least(F.min(first), F.min(last)) if first != last else F.min(first)
+    high = F.greatest(F.max(first), F.max(last)) if first != last else F.max(first)
+    places = observations.groupBy(*keys, order).agg(
+        F.min(first).alias("_first"), F.max(last).alias("_last"), low.alias("low"), high.alias("high"), F.count(last).alias("n")
+    )
+    return places.groupBy(*keys).agg(*_ends(order))
+
+
+def _ends(order: str) -> list[Column]:
+    return [
+        F.min_by("_first", order).alias("opening"),
+        F.max_by("_last", order).alias("closing"),
+        F.min(order).alias("first_order"),
+        F.max(order).alias("last_order"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.sum("n").alias("n"),
+    ]
+
+
+def merged_ends(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """``observed_ends`` of coarser groups from those of finer ones (of a client from those of its accounts)."""
+    # Either end of a group is one observation; the rest counts with the first.
+    own, none = ends.schema["opening"].dataType, F.lit(None)
+    opening = F.struct(F.col("first_order").alias("_order"), F.col("opening").alias("_first"), none.cast(own).alias("_last"), "low", "high", "n")
+    closing = F.struct(F.col("last_order").alias("_order"), none.cast(own).alias("_first"), F.col("closing").alias("_last"), "low", "high", F.lit(0).cast("long").alias("n"))
+    rows = ends.select(*keys, F.inline(F.array(opening, closing)))
+    places = rows.groupBy(*keys, "_order").agg(*[f(c).alias(c) for f, c in ((F.min, "_first"), (F.max, "_last"), (F.min, "low"), (F.max, "high"), (F.sum, "n"))])
+    return places.groupBy(*keys).agg(*_ends("_order"))
+
+
+def balances_of(ends: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Monthly liquidity from the ends of every client-month."""
+    named = {"opening": "opening_balance", "closing": "closing_balance", "low": "minimum_observed_balance", "high": "maximum_observed_balance"}
+    rows = ends.select("client_id", "month", *[F.col(c).cast("double").alias(name) for c, name in named.items()], F.col("n").alias("balance_observations_count"))
+    breach = F.when(F.col("minimum_observed_balance") < threshold, 1).otherwise(0).alias("balance_breach_proxy")
+    return rows.select("*", breach)
 
 
 def monthly_balances(
@@ -161,20 +199,19 @@ def monthly_balances(
     """Monthly liquidity from balance observations.
 
     ``first`` is the balance before and ``last`` the balance after an observation (the same column for plain
-    readings). One fixed-width ``order`` column keeps this a hash aggregate; several are compared as a struct.
+    readings). One ``order`` column of fixed width makes this two hash aggregates; several are compared as a struct.
     """
-    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    low = F.least(F.min(first), F.min(last)) if first != last else F.min(first)
-    high = F.greatest(F.max(first), F.max(last)) if first != last else F.max(first)
+    if len(order) == 1:
+        return balances_of(observed_ends(observations, ["client_id", "month"], order[0], first, last), threshold)
+    key = F.struct(*order)
     grouped = observations.groupBy("client_id", "month").agg(
-        F.min_by(first, key).cast("double").alias("opening_balance"),
-        F.max_by(last, key).cast("double").alias("closing_balance"),
-        low.cast("double").alias("minimum_observed_balance"),
-        high.cast("double").alias("maximum_observed_balance"),
-        F.count(last).alias("balance_observations_count"),
+        F.min_by(first, key).alias("opening"),
+        F.max_by(last, key).alias("closing"),
+        F.least(F.min(first), F.min(last)).alias("low"),
+        F.greatest(F.max(first), F.max(last)).alias("high"),
+        F.count(last).alias("n"),
     )
-    breach = F.when(F.col("minimum_observed_balance") < threshold, 1).otherwise(0).alias("balance_breach_proxy")
-    return grouped.select("*", breach)
+    return balances_of(grouped, threshold)
 
 
 def merge_balances(parts: DataFrame, order: str) -> DataFrame:

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tideledger.operators import classify
 from tideledger.operators.forecast import forecast_metrics, prepare_forecast, require_series, seasonal_naive
 from tideledger.operators.lagmodels import pooled_lag_forecast
+from tideledger.operators.scoring import score_table
 from tideledger.operators.seriesmodels import quantile_forecast, require_predictions, trend_season_forecast
 from tideledger.schemas import resolve_target
 from tideledger.session import stage
 
+#: Columns of every classifier's predictions; reasons and groups belong to a single run.
+SCORED = ["client_id", "scoring_month", "risk_score", "actual_cash_gap_next_month", "predicted_cash_gap", "risk_rank"]
 COMMON = ["series_id", "date", "actual", "forecast", "lower_bound", "upper_bound", "target"]
 FORECASTING, CLASSIFICATION = "cash_flow_forecasting", "cash_gap_classification"
 
@@ -26,6 +31,8 @@ class Contract:
     level: str = "client"
     min_history: int = 6
     task: str = FORECASTING
+    train_ratio: float = 0.6
+    validation_ratio: float = 0.2
 
     def prepared(self, canonical: DataFrame, scale: int | None = None) -> DataFrame:
         return prepare_forecast(
@@ -33,7 +40,11 @@ class Contract:
         )
 
 
-#: model id → (task, function(prepared, contract, parameters) → predictions)
+def _classifier(name: str) -> Callable:
+    return lambda data, contract, parameters: classify.train_prepared(data, name, parameters)
+
+
+#: model id → (task, function(prepared, contract, parameters) → predictions, of a classifier the trained model)
 MODELS: dict[str, tuple[str, Callable]] = {
     "seasonal_naive": (
         FORECASTING,
@@ -50,6 +61,7 @@ MODELS: dict[str, tuple[str, Callable]] = {
             data, resolve_target(c.target), c.horizon, **{k: p[k] for k in ("scorer", "batch") if k in p}
         ),
     ),
+    **{name: (CLASSIFICATION, _classifier(name)) for name in classify.DEFAULTS},
 }
 
 
@@ -66,44 +78,65 @@ def unique_models(requested: list[str]) -> list[str]:
 
 
 def run_benchmark(
-    canonical: DataFrame,
+    table: DataFrame,
     models: list[str],
     contract: Contract,
     parameters: dict[str, dict] | None = None,
     registry: dict[str, tuple[str, Callable]] | None = None,
     scale: int | None = None,
 ) -> Benchmark:
-    """Run several models on the same prepared data. A failing model is reported; only all failing is an error."""
+    """Run several models on the same prepared data: forecasters on a canonical table, classifiers on a feature frame.
+
+    The preparation (the series, or the temporal split of the frame) is staged once for all models. A failing model is
+    reported; only all failing is an error, and so is a model of another task.
+    """
     registry = registry or MODELS
     models = unique_models(models)
     foreign = [name for name in models if name not in registry or registry[name][0] != contract.task]
     if foreign:
         raise ValueError(f"Not models for {contract.task}: {foreign}")
-    prepared = stage(contract.prepared(canonical, scale))
-    require_series(prepared)
-    spark = prepared.sparkSession
+    if contract.task == CLASSIFICATION:
+        prepared = classify.prepare_training(table, contract.train_ratio, contract.validation_ratio)
+        one = _classified
+    else:
+        prepared = stage(contract.prepared(table, scale))
+        require_series(prepared)
+        one = _forecast
     parts, rows, failures = [], [], {}
     for place, name in enumerate(models):
         try:
             # Staged here, so a model fails inside its own try and is never computed twice.
-            result = require_predictions(
-                stage(registry[name][1](prepared, contract, (parameters or {}).get(name, {})).select(*COMMON))
-            )
-            measured = forecast_metrics(result, prepared)
+            result, measured = one(registry[name][1], prepared, contract, (parameters or {}).get(name, {}))
         except Exception as problem:  # any failure of one model must not stop the others
             failures[name] = f"{type(problem).__name__}: {problem}"
             continue
-        parts.append(result.select(F.lit(name).alias("model_id"), *COMMON))
+        parts.append(result.select(F.lit(name).alias("model_id"), *result.columns))
         rows += [(name, place, metric, None if v is None else float(v)) for metric, v in measured.items()]
     if not parts:
         raise RuntimeError(f"Every model failed: {failures}")
     predictions = parts[0]
     for part in parts[1:]:
         predictions = predictions.unionByName(part)
-    metrics = spark.createDataFrame(rows, "model_id string, position int, metric string, value double")
+    metrics = table.sparkSession.createDataFrame(rows, "model_id string, position int, metric string, value double")
     return Benchmark(predictions, metrics, failures)
 
 
+def _forecast(model: Callable, prepared: DataFrame, contract: Contract, parameters: dict) -> tuple[DataFrame, dict]:
+    result = require_predictions(stage(model(prepared, contract, parameters).select(*COMMON)))
+    return result, forecast_metrics(result, prepared)
+
+
+def _classified(model: Callable, prepared: classify.Prepared, contract: Contract, parameters: dict) -> tuple[DataFrame, dict]:
+    began = perf_counter()
+    trained = model(prepared, contract, parameters)
+    seconds = perf_counter() - began
+    ranked = score_table(trained.scored.select(*classify.KEYS, classify.TARGET, "risk_score"), trained.threshold)
+    named = {"month": "scoring_month", classify.TARGET: "actual_cash_gap_next_month"}
+    result = stage(ranked.withColumnsRenamed(named).select(*SCORED))
+    return result, {k: v for k, v in trained.metrics.items() if k != "confusion_matrix"} | {"training_seconds": seconds}
+
+
+CLASSIFIER_METRICS = ["pr_auc", "roc_auc", "precision", "recall", "f1", "brier_score", "precision_at_top_10", "recall_at_top_10", "threshold", "test_rows"]
 METRICS = ["mae", "rmse", "wape", "mase", "processed_series", "failed_series", "error_rate", "test_rows"]
 
 

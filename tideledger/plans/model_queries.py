@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tideledger.functions.flags import union_flags
 from tideledger.operators import classify, compare, explain, features, forecast, ledger, scoring, text
@@ -85,6 +85,79 @@ def training_split(spark, sf_dir):
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("cash_gap_next_month").alias("positives"))
 
 
+def _classifiers(spark, sf_dir):
+    contract = compare.Contract("cash_gap_next_month", task=compare.CLASSIFICATION)
+    return compare.run_benchmark(frame(spark, sf_dir), ["prior", "logistic_regression", "prior"], contract)
+
+
+@query(
+    "K14_classifier_benchmark",
+    with_sql(
+        tb.GAPS_SQL,
+        "scores AS (SELECT * FROM target WHERE cash_gap_next_month IS NOT NULL)",
+        _MONTHS_SQL,
+        """parted AS (SELECT * FROM scores JOIN parts USING (month)),
+           prior AS (SELECT client_id, month AS scoring_month, CAST(cash_gap_next_month AS INT) AS actual_cash_gap_next_month,
+             round((SELECT avg(cash_gap_next_month) FROM parted WHERE split = 'train'), 9) AS risk_score,
+             row_number() OVER (PARTITION BY month ORDER BY client_id) AS risk_rank FROM parted WHERE split = 'test')""",
+        """SELECT 'prior' AS model_id, * FROM prior
+           UNION ALL SELECT 'logistic_regression', client_id, scoring_month, actual_cash_gap_next_month, NULL, NULL FROM prior""",
+    ),
+)
+def classifier_benchmark(spark, sf_dir):
+    """Two classifiers on one split; of the fitted one only what doesn't depend on its weights."""
+    found = _classifiers(spark, sf_dir).predictions
+    of_prior = lambda c: F.when(F.col("model_id") == "prior", c)
+    return found.select(
+        "model_id", "client_id", "scoring_month", "actual_cash_gap_next_month",
+        of_prior(F.round("risk_score", 9)).alias("risk_score"), of_prior(F.col("risk_rank")).alias("risk_rank"),
+    )
+
+
+@query(
+    "K15_classifier_comparison",
+    with_sql(
+        tb.GAPS_SQL,
+        "scores AS (SELECT * FROM target WHERE cash_gap_next_month IS NOT NULL)",
+        _MONTHS_SQL,
+        """test AS (SELECT cash_gap_next_month AS label, (SELECT avg(cash_gap_next_month) FROM scores JOIN parts USING (month) WHERE split = 'train') AS rate
+             FROM scores JOIN parts USING (month) WHERE split = 'test'),
+           models AS (SELECT unnest(['prior', 'logistic_regression']) AS model_id)""",
+        """SELECT model_id, CAST(count(*) AS DOUBLE) AS test_rows, CASE WHEN model_id = 'prior' THEN round(avg((rate - label) * (rate - label)), 9) END AS brier_score,
+             CASE WHEN model_id = 'prior' THEN 0.5 END AS roc_auc, true AS better_than_prior FROM test, models GROUP BY model_id""",
+    ),
+)
+def classifier_comparison(spark, sf_dir):
+    """The metrics table of the same two; the fitted one ranks no worse than the base rate does."""
+    table = compare.compare(_classifiers(spark, sf_dir).metrics, names=compare.CLASSIFIER_METRICS)
+    of_prior = lambda c: F.when(F.col("model_id") == "prior", F.round(c, 9)).alias(c)
+    return table.select("model_id", "test_rows", of_prior("brier_score"), of_prior("roc_auc"), (F.col("roc_auc") >= 0.5).alias("better_than_prior"))
+
+
+@query(
+    "J03_invariants",
+    with_sql(
+        tb.GAPS_SQL,
+        "scores AS (SELECT * FROM target WHERE cash_gap_next_month IS NOT NULL)",
+        _MONTHS_SQL,
+        """SELECT month AS scoring_month, count(*) AS rows, count(*) AS ranks, CAST(count(*) AS BIGINT) AS last_rank, CAST(sum(cash_gap_next_month) AS BIGINT) AS positives,
+             true AS in_order FROM scores JOIN parts USING (month) WHERE split = 'test' GROUP BY month""",
+    ),
+)
+def logistic_invariants(spark, sf_dir):
+    """What holds for any fitted model: ranks are a permutation of each month's rows, in the order of the scores."""
+    found = classify.train_classifier(frame(spark, sf_dir), "logistic_regression").predictions()
+    ahead = F.lag("risk_score").over(Window.partitionBy("scoring_month").orderBy("risk_rank"))
+    return (
+        found.withColumn("_fits", F.coalesce(ahead >= F.col("risk_score"), F.lit(True)) & F.col("risk_score").between(0, 1))
+        .groupBy("scoring_month")
+        .agg(
+            F.count(F.lit(1)).alias("rows"), F.count_distinct("risk_rank").alias("ranks"), F.max("risk_rank").cast("long").alias("last_rank"),
+            F.sum("actual_cash_gap_next_month").alias("positives"), F.every("_fits").alias("in_order"),
+        )
+    )
+
+
 _CURVE_SQL = """distinct_scores AS (SELECT score, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives FROM scores GROUP BY score),
   curve AS (SELECT *, CAST(sum(rows) OVER (ORDER BY score DESC) AS BIGINT) AS rows_above,
     CAST(sum(positives) OVER (ORDER BY score DESC) AS BIGINT) AS positives_above FROM distinct_scores)"""
@@ -168,6 +241,23 @@ def contributions(spark, sf_dir):
     return signed.select("client_id", "month", *[share.alias(reason) for reason, share in shares.items()])
 
 
+@query(
+    "J14_tree_contributions",
+    with_sql(
+        tb.GAPS_SQL,
+        "scores AS (SELECT * FROM target WHERE cash_gap_next_month IS NOT NULL)",
+        _MONTHS_SQL,
+        "SELECT client_id, month, CAST(0 AS DOUBLE) AS difference FROM scores JOIN parts USING (month) WHERE split = 'test'",
+    ),
+)
+def tree_contributions(spark, sf_dir):
+    """Base and signed contributions of boosted trees add up to every row's score (as log-odds)."""
+    result = classify.train_classifier(frame(spark, sf_dir), "boosted_leaves", {"n_estimators": 12})
+    parts = F.aggregate(result.contributions(), F.lit(result.model.bias), lambda total, x: total + x)
+    log_odds = F.log(F.col("risk_score") / (1 - F.col("risk_score")))
+    return result.scored.select("client_id", "month", F.abs(F.round(parts - log_odds, 6)).alias("difference"))
+
+
 @query("J15_reasons", _REASONS)
 def reasons(spark, sf_dir):
     explained = explain.with_reasons(_history(spark, sf_dir))

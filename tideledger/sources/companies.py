@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tideledger.functions.scalars import directions, field_number, flag, label, moment_of, month_of
-from tideledger.operators.canonical import canonical_monthly, canonical_rows, monthly_balances, packed_order
+from tideledger.operators.canonical import balances_of, canonical_monthly, canonical_rows, merged_ends, observed_ends, packed_order
 from tideledger.sources.tabular import SourceError, find_table, first_column
 
 # Accepted column names, in order of preference.
@@ -106,9 +108,22 @@ def to_liquidity(tables: dict[str, DataFrame], threshold: float = 0.0, day_first
         moment.alias("moment"),
         field_number(readings, value).cast("double").alias("balance"),
     ).dropna(subset=["month", "moment", "balance"])
+    # An account's readings become one row a month before the account is looked up.
+    ordered = plain.select("account", "month", "balance", packed_order(F.col("moment")).alias("order"))
+    ends = observed_ends(ordered, ["account", "month"], "order")
     if company:
-        seen = plain.withColumnRenamed("account", "client_id").dropna(subset=["client_id"])
+        seen = ends.withColumnRenamed("account", "client_id").dropna(subset=["client_id"])
     else:
-        seen = with_company(plain, account_companies(tables) if account else None, SINGLE)
-    ordered = seen.withColumn("order", packed_order(F.col("moment"), F.col("balance")))
-    return monthly_balances(ordered, ["order"], threshold=threshold)
+        seen = with_company(ends, account_companies(tables) if account else None, SINGLE)
+    return balances_of(merged_ends(seen, ["client_id", "month"]), threshold)
+
+
+def days(tables: dict[str, DataFrame]) -> DataFrame:
+    """``day``: the date texts of transactions and statements; typed dates aren't listed."""
+    found = []
+    for part, names in (("transaction", DATE), ("statement", STATEMENT_DATE)):
+        table = find_table(tables, part)
+        name = first_column(table.columns, names) if table is not None else None
+        if name and isinstance(table.schema[name].dataType, T.StringType):
+            found.append(table.select(F.col(name).alias("day")))
+    return reduce(DataFrame.unionByName, found) if found else next(iter(tables.values())).select(F.lit(None).cast("string").alias("day")).limit(0)

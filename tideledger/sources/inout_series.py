@@ -29,6 +29,11 @@ def is_series(columns: list[str]) -> bool:
     return bool(found["date"] and (found["inflow"] or found["outflow"] or found["net_flow"]))
 
 
+def days(df: DataFrame) -> DataFrame:
+    """``day``: the dates of a table, as text."""
+    return df.select(F.col(discover(df.columns)["date"]).cast("string").alias("day"))
+
+
 def to_series(df: DataFrame, series_id: str = SERIES_ID, scale: int | None = None, day_first: bool = False) -> DataFrame:
     """series_id, date, inflow, outflow, net_flow with one row per date.
 

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideledger.functions.dates import day_first_of
 from tideledger.functions.flags import ADAPTER_FLAGS
 from tideledger.operators.canonical import canonical_monthly
 from tideledger.operators.quality import Source
@@ -68,6 +69,12 @@ def _used(paths: list[str]) -> dict:
     return {"selected_files": paths, "selected_file": paths[0] if len(paths) == 1 else None}
 
 
+def _day_first(options: dict, days: DataFrame, name: str) -> bool:
+    """The order of a source's dates: chosen, or by its own rows."""
+    chosen = options.get("day_first")
+    return day_first_of(days, name) if chosen is None else chosen
+
+
 def _transfers(spark, paths, source, options) -> Normalized:
     # Spark numbers a repeated header name by its place ("Account2", "Account4"), so only unique names can be asked for.
     needed = transfers.REQUIRED - {"Account", "Account.1"}
@@ -75,7 +82,7 @@ def _transfers(spark, paths, source, options) -> Normalized:
     parts = [transfers.read(spark, p) if suffix(p) == ".csv" else read_tabular(spark, p).select(*[f"`{c}`" for c in transfers.COLUMNS]) for p in chosen]
     rows = reduce(DataFrame.unionByName, parts)
     canonical = transfers.to_canonical(
-        rows, source.id, "file", options.get("combine_currencies", False), options.get("fx"), options.get("day_first", False)
+        rows, source.id, "file", options.get("combine_currencies", False), options.get("fx"), _day_first(options, rows, "Timestamp")
     )
     return Normalized(canonical=canonical, mapping={**transfers.MAPPING, **_used(chosen)})
 
@@ -88,18 +95,20 @@ def _statements(spark, paths, source, options) -> Normalized:
     for path in chosen[1:]:
         payloads = payloads.unionByName(statements.read(spark, path))
     rows = statements.statements(payloads)
+    day_first = _day_first(options, statements.days(rows), "day")
     return Normalized(
-        canonical=statements.to_canonical(rows, source.id, "file", options.get("day_first", False)),
-        liquidity=statements.to_liquidity(rows, options.get("balance_breach_threshold", 0.0), options.get("day_first", False)),
+        canonical=statements.to_canonical(rows, source.id, "file", day_first),
+        liquidity=statements.to_liquidity(rows, options.get("balance_breach_threshold", 0.0), day_first),
         mapping=statements.MAPPING,
     )
 
 
 def _companies(spark, paths, source, options) -> Normalized:
     tables = load_tables(spark, [path for path in paths if suffix(path) in {".csv", ".parquet", ".jsonl", ".json"}])
+    day_first = _day_first(options, companies.days(tables), "day")
     return Normalized(
-        canonical=companies.to_canonical(tables, source.id, "file", options.get("day_first", False)),
-        liquidity=companies.to_liquidity(tables, options.get("balance_breach_threshold", 0.0), options.get("day_first", False)),
+        canonical=companies.to_canonical(tables, source.id, "file", day_first),
+        liquidity=companies.to_liquidity(tables, options.get("balance_breach_threshold", 0.0), day_first),
         mapping={"tables": list(tables), "client_level": "company"},
     )
 
@@ -109,7 +118,10 @@ def _inout_series(spark, paths, source, options) -> Normalized:
     if not found:
         raise SourceError("No CSV with a date and a flow column")
     chosen = selected_files(found, options.get("selected_file"))
-    series = inout_series.total([inout_series.to_series(read_tabular(spark, p), day_first=options.get("day_first", False)) for p in chosen])
+    tables = [read_tabular(spark, p) for p in chosen]
+    days = reduce(DataFrame.unionByName, [inout_series.days(t) for t in tables])
+    day_first = _day_first(options, days, "day")
+    series = inout_series.total([inout_series.to_series(t, day_first=day_first) for t in tables])
     return Normalized(
         canonical=inout_series.to_canonical(series, source.id, "file"), series=series, mapping=_used(chosen)
     )

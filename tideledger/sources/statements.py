@@ -108,6 +108,12 @@ def transactions(df: DataFrame, day_first: bool = False, unreadable: bool = Fals
     ).where("moment is null" if unreadable else "moment is not null")
 
 
+def days(df: DataFrame) -> DataFrame:
+    """``day``: every date text of statements and their transactions, as it stands in the file."""
+    own = F.transform(_chosen(), lambda item: F.coalesce(F.nullif(item["date"], F.lit("")), item["transaction_date"]))
+    return df.select(F.explode(F.concat(own, F.array("start_date", "end_date"))).alias("day")).where("day is not null")
+
+
 def to_canonical(df: DataFrame, dataset: str, provider: str, day_first: bool = False) -> DataFrame:
     """Canonical rows of statements (see ``statements``)."""
     return canonical_rows(
@@ -159,6 +165,6 @@ def to_liquidity(df: DataFrame, threshold: float = 0.0, day_first: bool = False)
         "client_id",
         month_of(F.col("moment")).alias("month"),
         "balance",
-        packed_order(F.col("moment"), F.col("balance"), F.col("kind"), F.col("place")).alias("order"),
+        packed_order(F.col("moment"), F.col("kind"), F.col("place")).alias("order"),
     )
     return monthly_balances(ordered, ["order"], threshold=threshold)

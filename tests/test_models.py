@@ -175,6 +175,17 @@ def test_pages_and_previews(spark):
     assert [r["run_id"] for r in sinks.newest_first(runs).collect()] == ["b", "c", "a"]
 
 
+def test_pages_of_an_ordered_table(spark):
+    table = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("k"), F.lit("x").alias("v")).repartition(9)
+    path = sinks.write_ordered(table, scratch(spark, "ordered"), ["k"])
+    for offset, limit in ((0, 10), (995, 30), (3990, 50), (5000, 10)):
+        found = sinks.read_page(spark, path, offset, limit)
+        assert sorted(r["k"] for r in found.collect()) == list(range(4000))[offset : offset + limit]
+        assert {r["total_rows"] for r in found.collect()} <= {4000}
+    plan = sinks.read_page(spark, path, 3990, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan.split("PartitionFilters: [")[1].split("]")[0] and "_place" in plan.split("PushedFilters: [")[1].split("]")[0]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert spark.conf.get("spark.checkpoint.dir") in shared_dir(spark)
 

@@ -1,6 +1,8 @@
 """Ranks, thresholds and metrics against brute force, with heavy ties."""
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,19 @@ def test_reasons_fill_up_and_contribute(spark):
     assert found["falling"] == ("negative_streak", "debit_growth", "credit_decline")
     texts = explain.with_reasons(table, texts=True).where("client_id = 'quiet'").first()
     assert texts["top_reason_1"] == explain.FALLBACKS["no_negative_signal"]
+
+
+def test_greatest_rows_by_counting(spark):
+    from tideledger.operators import ordered
+
+    rng = random.Random(4)
+    values = [rng.choice([0.25, 0.5, rng.random(), 1e-9 * rng.random(), -3e8]) for _ in range(600)] + [None, float("nan"), None]
+    rows = [(i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, score double").repartition(4)
+    real = sorted(((-v, i) for i, v in rows if v is not None and v == v))
+    late = [i for i, v in rows if v is None or v != v]
+    full = [i for _, i in real] + late
+    for k in (1, 2, 60, 200, 333, 599, 600, 601, 603, 700):
+        assert sorted(r["id"] for r in ordered.greatest(df, "score", k, ["id"]).collect()) == sorted(full[:k])
+    assert ordered.kth_greatest(df, "score", 3, bins=4)[0] == -real[2][0]
+    assert ordered.kth_greatest(df.limit(0), "score", 1) is None

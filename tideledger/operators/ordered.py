@@ -53,7 +53,8 @@ def running(df: DataFrame, group: list[str], order: list[Column], sums: dict[str
 
 def with_percentile(df: DataFrame, group: list[str], value: str, tie: list[str]) -> DataFrame:
     """Adds ``row_number`` (value descending, then ``tie``) and ``percentile``: the share of the group at or below."""
-    rows = stage(ranked(df, group, [F.col(value).desc(), *[F.col(name).asc() for name in tie]]))
+    # Read three times, but written once: ranks are a join of the placed rows with one row per partition and group.
+    rows = ranked(df, group, [F.col(value).desc(), *[F.col(name).asc() for name in tie]])
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     # Only values that occur more than once need the first rank of their tie.
     ties = (
@@ -65,3 +66,51 @@ def with_percentile(df: DataFrame, group: list[str], value: str, tie: list[str])
     joined = lookup_join(lookup_join(rows, sizes, group), ties, [*group, value], "left")
     above = F.coalesce(F.col("_tie"), F.col("row_number")) - 1
     return joined.withColumn("percentile", (F.col("_size") - above) / F.col("_size")).drop("_size", "_tie")
+
+
+def kth_greatest(df: DataFrame, value: str, k: int, bins: int = 4096) -> tuple[float, int, int] | None:
+    """(the k-th greatest value, rows above it, rows with it) by counting, without a sort; None beyond the last value.
+
+    Every pass counts the values between two bounds in bins of equal width and goes on with the bin that holds the
+    k-th one, within the least and greatest value that really stand there, until these are the same. Nulls and NaN
+    are no values.
+    """
+    number = F.col(value).cast("double")
+    rows = df.select(number.alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    low, high, count = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not 1 <= k <= count:
+        return None
+    above = 0
+    while low != high:
+        width = (high / bins - low / bins) or 5e-324
+        place = F.least(F.greatest(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(bins - 1))
+        found = rows.where(F.col("v").between(low, high)).groupBy(place.alias("bin")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for r in sorted(found.collect(), key=lambda r: -r["bin"]):  # a row a bin
+            if above + r["n"] >= k:
+                low, high, count = r["low"], r["high"], r["n"]
+                break
+            above += r["n"]
+    return low, above, count
+
+
+def greatest(df: DataFrame, value: str, k: int, tie: list[str]) -> DataFrame:
+    """The k rows with the greatest values; of those with the last value the first ones in the order of ``tie``.
+
+    Only rows with the last value are put in order. Rows without a value come last. ``df`` is read a few times: it
+    should be stored and narrow.
+    """
+    bound = kth_greatest(df, value, k)
+    number = F.col(value).cast("double")
+    missing = number.isNull() | F.isnan(number)
+    if bound is None:
+        valued = df.where(~missing)
+        rest = max(0, k - valued.count())
+        return valued.unionByName(_first_rows(df.where(missing), rest, tie))
+    last, above, count = bound
+    ties = df.where(~missing & (number == F.lit(last)))
+    return df.where(~missing & (number > F.lit(last))).unionByName(ties if above + count == k else _first_rows(ties, k - above, tie))
+
+
+def _first_rows(df: DataFrame, n: int, tie: list[str]) -> DataFrame:
+    placed = ranked(df, [], [F.col(name).asc() for name in tie], "_row")
+    return placed.where(F.col("_row") <= n).drop("_row")

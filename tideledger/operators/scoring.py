@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tideledger.functions.scalars import flag, risk_group
-from tideledger.operators.ordered import ranked, running, with_percentile
+from tideledger.operators.ordered import greatest, running, with_percentile
 from tideledger.session import stage
 
 
@@ -118,10 +118,9 @@ def threshold_metrics(df: DataFrame, threshold: float, score: str = "score", lab
 
 def top_share(df: DataFrame, tie: list[str], share: float = 0.10, score: str = "score") -> DataFrame:
     """The ``ceil(share * n)`` best-scored rows, at least one; equal scores are taken in the order of ``tie``."""
-    placed = stage(ranked(df, [], [F.col(score).desc(), *[F.col(name).asc() for name in tie]]))
-    rows = placed.count()
-    wanted = max(1, -int(-rows * share // 1)) if rows else 0
-    return placed.where(F.col("row_number") <= wanted)
+    rows = stage(df)
+    count = rows.count()
+    return greatest(rows, score, max(1, -int(-count * share // 1)), tie) if count else rows
 
 
 def top_metrics(df: DataFrame, tie: list[str], share: float = 0.10, score: str = "score", label: str = "label") -> DataFrame:
@@ -129,7 +128,7 @@ def top_metrics(df: DataFrame, tie: list[str], share: float = 0.10, score: str =
     positives = df.agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))).first()[0]
     hits = F.sum(F.col(label).cast("long"))
     recall = hits / F.lit(float(positives)) if positives else F.lit(0.0)
-    return top_share(df, tie, share, score).agg(
+    return top_share(df.select(score, label, *tie), tie, share, score).agg(
         F.avg(F.col(label).cast("double")).alias("precision_at_top_10"), recall.alias("recall_at_top_10")
     )
 

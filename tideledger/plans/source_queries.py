@@ -227,6 +227,19 @@ def page(spark, sf_dir):
     return sinks.page(rows, ORDER, 1000, 50)
 
 
+@query(
+    "A16_page_of_stored_order",
+    with_sql(
+        tb.CANONICAL_SQL,
+        """SELECT client_id, month, transaction_label, currency, debit_sum, (SELECT count(*) FROM canonical) AS total_rows
+           FROM canonical ORDER BY client_id, month, transaction_label, currency NULLS FIRST LIMIT 500 OFFSET 2345""",
+    ),
+)
+def page_of_stored_order(spark, sf_dir):
+    rows = tb.canonical(spark, sf_dir).select(*ORDER, "debit_sum")
+    return sinks.read_page(spark, sinks.write_ordered(rows, scratch(spark, "ordered"), ORDER), 2345, 500)
+
+
 # Scalars ---------------------------------------------------------------------------------------------------------
 
 

@@ -134,6 +134,11 @@ def test_quantile_scorers(spark):
     counts = forecast.coverage(partial, prepared.where("split = 'context'")).first()
     assert (counts["processed_series"], counts["failed_series"]) == (6, 1)
 
+    # In one batch with six others the bad series costs none of them, and says why it failed.
+    whole = seriesmodels.quantile_scores(prepared, 2, picky, batch=16).collect()
+    assert sum(r["error"] is None for r in whole) == 12
+    assert [(r["series_id"], r["error"]) for r in whole if r["error"]] == [("s3", "RuntimeError: cannot score")]
+
     def never(histories, horizon):
         raise RuntimeError("no model")
 

@@ -189,37 +189,57 @@ def empirical_quantiles(histories: list[np.ndarray], horizon: int) -> np.ndarray
     return result
 
 
-def quantile_forecast(
-    prepared: DataFrame, target: str, horizon: int, scorer: Scorer = empirical_quantiles, batch: int = 16
-) -> DataFrame:
-    """Score series in batches with a pluggable model that returns the quantiles .1, .5, .9.
+def quantile_scores(prepared: DataFrame, horizon: int, scorer: Scorer = empirical_quantiles, batch: int = 16) -> DataFrame:
+    """Quantiles of every series and month, and one row with ``error`` (and no values) for each series that can't be scored.
 
-    A batch whose scoring fails gives no rows, and nothing is made up for it; ``forecast.coverage`` counts it.
+    Series are scored in batches; if a batch fails, each of its series is scored alone, so one bad series costs no other.
     """
 
+    def scored(part: pd.DataFrame) -> pd.DataFrame:
+        scores = np.asarray(scorer([np.asarray(h, dtype=float) for h in part["history"]], horizon), dtype=float)
+        return pd.DataFrame(
+            {
+                "series_id": np.repeat(part["series_id"].to_numpy(), horizon),
+                "date": [f"{month}-01" for months in part["months"] for month in months],
+                "actual": [float(value) for values in part["actuals"] for value in values],
+                "lower_bound": scores[:, :, 0].ravel(),
+                "median": scores[:, :, 1].ravel(),
+                "upper_bound": scores[:, :, 2].ravel(),
+                "error": None,
+            }
+        )
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
                 try:
-                    scores = np.asarray(scorer([np.asarray(h, dtype=float) for h in part["history"]], horizon), dtype=float)
-                except Exception:
+                    yield scored(part)
                     continue
-                yield pd.DataFrame(
-                    {
-                        "series_id": np.repeat(part["series_id"].to_numpy(), horizon),
-                        "date": [f"{month}-01" for months in part["months"] for month in months],
-                        "actual": [float(value) for values in part["actuals"] for value in values],
-                        "lower_bound": scores[:, :, 0].ravel(),
-                        "median": scores[:, :, 1].ravel(),
-                        "upper_bound": scores[:, :, 2].ravel(),
-                    }
-                )
-
+                except Exception as problem:  # a scorer is foreign code
+                    last = problem
+                for i in range(len(part)):
+                    try:
+                        if len(part) == 1:
+                            raise last
+                        yield scored(part.iloc[i : i + 1])
+                    except Exception as problem:
+                        row = dict.fromkeys(columns) | {"series_id": part["series_id"].iloc[i], "error": f"{type(problem).__name__}: {problem}"}
+                        yield pd.DataFrame([row], dtype=object)
+
+    columns = ["series_id", "date", "actual", "lower_bound", "median", "upper_bound", "error"]
     states = _states(prepared, ["value"]).select("series_id", F.col("past_value").alias("history"), "months", "actuals")
-    schema = "series_id string, date string, actual double, lower_bound double, median double, upper_bound double"
-    scored = states.mapInPandas(run, schema)
-    return scored.select(
+    return states.mapInPandas(run, "series_id string, date string, actual double, lower_bound double, median double, upper_bound double, error string")
+
+
+def quantile_forecast(
+    prepared: DataFrame, target: str, horizon: int, scorer: Scorer = empirical_quantiles, batch: int = 16
+) -> DataFrame:
+    """Forecasts of a pluggable model that returns the quantiles .1, .5, .9 (see ``quantile_scores``).
+
+    A series whose scoring fails has no rows, and nothing is made up for it; ``forecast.coverage`` counts it.
+    """
+    return quantile_scores(prepared, horizon, scorer, batch).where("error IS NULL").select(
         "series_id", "date", "actual", F.col("median").alias("forecast"), "lower_bound", "median", "upper_bound",
         F.lit(target).alias("target"),
     )

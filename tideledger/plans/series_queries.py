@@ -454,9 +454,23 @@ def trend_season(spark, sf_dir):
     return seriesmodels.trend_season_forecast(prepared(spark, sf_dir), "net_flow")
 
 
-@query("K10_quantiles")
+@query(
+    "K10_quantiles",
+    with_sql(
+        *_PREPARED,
+        """moves AS (SELECT a.series_id, b.place - a.place AS step, b.value - a.value AS change FROM prepared a
+             JOIN prepared b ON a.series_id = b.series_id AND b.place - a.place BETWEEN 1 AND 3 WHERE a.split = 'context' AND b.split = 'context'),
+           spread AS (SELECT series_id, step, quantile_cont(change, 0.1) AS low, quantile_cont(change, 0.5) AS middle, quantile_cont(change, 0.9) AS high
+             FROM moves GROUP BY series_id, step)""",
+        """SELECT t.series_id, t.month || '-01' AS date, round(t.value, 4) AS actual, round(c.value + middle, 4) AS forecast,
+             round(c.value + low, 4) AS lower_bound, round(c.value + middle, 4) AS median, round(c.value + high, 4) AS upper_bound, 'net_flow' AS target
+           FROM prepared t JOIN prepared c ON c.series_id = t.series_id AND c.place = t.history
+           JOIN spread q ON q.series_id = t.series_id AND q.step = t.step WHERE t.split = 'test'""",
+    ),
+)
 def quantiles(spark, sf_dir):
-    return seriesmodels.quantile_forecast(prepared(spark, sf_dir), "net_flow", 3)
+    rows = seriesmodels.quantile_forecast(prepared(spark, sf_dir), "net_flow", 3)
+    return rows.withColumns({name: F.round(name, 4) for name in ("actual", "forecast", "lower_bound", "median", "upper_bound")})
 
 
 @query(

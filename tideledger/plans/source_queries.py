@@ -307,18 +307,19 @@ def formatted_number(spark, sf_dir):
     return tb.table(spark, sf_dir, "lineitem").select("l_orderkey", S.parse_number(text).alias("amount"))
 
 
-def _category_sql() -> str:
-    word = "(^|[^\\p{{L}}\\p{{N}}_]){0}([^\\p{{L}}\\p{{N}}_]|$)"
-    cases = [
-        (name, "|".join(word.format(text) if alone else text for text, alone in words))
-        for name, words in S.DESCRIPTION_CATEGORIES
-    ]
-    return " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in cases)
-
-
 @query(
     "B05_description_category",
-    f"""SELECT doc_id, CASE {_category_sql()} ELSE 'OTHER' END AS category
+    r"""SELECT doc_id, CASE
+          WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])UPI([^\p{L}\p{N}_]|$)') THEN 'UPI'
+          WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])NEFT([^\p{L}\p{N}_]|$)') THEN 'NEFT'
+          WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])RTGS([^\p{L}\p{N}_]|$)') THEN 'RTGS'
+          WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])IMPS([^\p{L}\p{N}_]|$)') THEN 'IMPS'
+          WHEN contains(t, 'CHEQUE') OR regexp_matches(t, '(^|[^\p{L}\p{N}_])CHQ([^\p{L}\p{N}_]|$)') THEN 'CHEQUE'
+          WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])CASH([^\p{L}\p{N}_]|$)') THEN 'CASH'
+          WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])ATM([^\p{L}\p{N}_]|$)') THEN 'ATM'
+          WHEN contains(t, 'CHARGE') OR contains(t, 'FEE') THEN 'CHARGE'
+          WHEN contains(t, 'REVERSAL') OR contains(t, 'REVERSED') THEN 'REVERSAL'
+          ELSE 'OTHER' END AS category
         FROM (SELECT doc_id, upper(text) AS t FROM documents)""",
 )
 def description_category(spark, sf_dir):

@@ -52,8 +52,8 @@ def test_classifier_contract(spark, frame, name, chosen):
 
 
 def test_boosting_stops_and_keeps_the_best_rounds(spark, frame):
-    whole = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2, "early_stopping": False})
-    best = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2})
+    whole = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2, "early_stopping": False, "engine": "histogram"})
+    best = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2, "engine": "histogram"})
     kept = len(best.model.trees)
     assert len(whole.model.trees) == 12 and 1 <= kept <= 12
     assert best.model.losses.index(min(best.model.losses)) == kept
@@ -65,8 +65,16 @@ def test_boosting_stops_and_keeps_the_best_rounds(spark, frame):
         classify.train_classifier(frame, "prior", {"strategy": "stratified"})
 
 
+def test_mllib_boosting_keeps_the_best_rounds(frame):
+    assert classify.best_rounds([5.0, 4.0, 3.0, 3.5, 2.0]) == 5
+    assert classify.best_rounds([5.0, 4.0, 6.0, 6.0, 6.0, 1.0], patience=3) == 2
+    whole = classify.train_classifier(frame, "boosted_trees", {"iterations": 12, "depth": 2, "early_stopping": False})
+    shorter = classify.first_rounds(whole.model, 5)
+    assert whole.model.getNumTrees == 12 and shorter.getNumTrees == 5 and shorter.treeWeights == whole.model.treeWeights[:5]
+
+
 def test_signed_parts_add_up_to_the_score(frame):
-    result = classify.train_classifier(frame, "boosted_leaves", {"n_estimators": 4, "min_child_samples": 5})
+    result = classify.train_classifier(frame, "boosted_leaves", {"n_estimators": 4, "min_child_samples": 5, "engine": "histogram"})
     found = result.scored.withColumn("parts", result.contributions()).select("parts", "risk_score").collect()
     for row in found:
         assert result.model.bias + sum(row["parts"]) == pytest.approx(np.log(row["risk_score"] / (1 - row["risk_score"])), abs=1e-9)

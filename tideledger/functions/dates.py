@@ -24,13 +24,14 @@ class DateOrderError(ValueError):
 
 
 def _iso(text: Column, day_first: bool) -> Column:
-    """ISO form of date text, null for any other shape."""
-    forms = [(rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_CLOCK}", "$1-$2-$3 $4")]
+    """ISO form of date text, null for any other shape. How a text begins rules out all shapes but a few."""
     order = "$2-$1" if day_first else "$1-$2"
+    slashes, dots = [], []
     for year, century in _YEARS:
-        forms.append((f"{_TWO}{year}{_CLOCK}", f"{century}$3-{order} $4"))
-        forms.append((rf"^(\d{{1,2}})\.(\d{{1,2}})\.{year}{_CLOCK}", f"{century}$3-$2-$1 $4"))  # dots: always the day first
-    forms += [
+        slashes.append((f"{_TWO}{year}{_CLOCK}", f"{century}$3-{order} $4"))
+        dots.append((rf"^(\d{{1,2}})\.(\d{{1,2}})\.{year}{_CLOCK}", f"{century}$3-$2-$1 $4"))  # dots: always the day first
+    years = [(rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_CLOCK}", "$1-$2-$3 $4")]
+    digits = [
         (rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_CLOCK}", "$1-$2-$3 $4"),
         (r"^(\d{4})(\d{2})(\d{2})[T ]?(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"),
     ]
@@ -39,10 +40,21 @@ def _iso(text: Column, day_first: bool) -> Column:
         (rf"^(\d{{1,2}})[ -]([A-Za-z]{{3,9}})\.?[ ,-]+(\d{{4}}){_CLOCK}", "$3-#-$1 $4"),
         (rf"^([A-Za-z]{{3,9}})\.? (\d{{1,2}}),? +(\d{{4}}){_CLOCK}", "$3-#-$2 $4"),
     ]
-    cases = [(text.rlike(p), F.regexp_replace(text, p, to)) for p, to in forms]
-    cases += [(text.rlike(p), F.replace(F.regexp_replace(text, p, to), F.lit("#"), number)) for p, to in named]
-    whole = text.rlike(r"^\d{4}-\d")
-    return F.trim(reduce(lambda done, case: done.when(*case), cases, F.when(whole, text)))
+
+    def first_of(forms: list[tuple[str, str]], rewrite=lambda written: written) -> Column:
+        return reduce(lambda done, form: done.when(text.rlike(form[0]), rewrite(F.regexp_replace(text, *form))), forms, F).otherwise(None)
+
+    head = F.left(text, F.lit(5))
+    cases = [
+        (text.rlike(r"^\d{4}-\d"), text),
+        (~text.rlike(r"\d"), F.lit(None)),
+        (head.rlike(r"^\d{1,2}[/-]\d"), first_of(slashes)),
+        (head.rlike(r"^\d{4}[/.]"), first_of(years)),
+        (head.rlike(r"^\d{1,2}\."), first_of(dots)),
+        (head.rlike(r"^\d{5}"), first_of(digits)),
+        (head.rlike("[A-Za-z]"), first_of(named, lambda written: F.replace(written, F.lit("#"), number))),
+    ]
+    return F.trim(reduce(lambda done, case: done.when(*case), cases, F))
 
 
 def parse_moment(value: Column | str, day_first: bool = False) -> Column:
@@ -53,10 +65,14 @@ def parse_moment(value: Column | str, day_first: bool = False) -> Column:
     fractions of a second; years of two digits.
     """
     text = F.trim((F.col(value) if isinstance(value, str) else value).cast("string"))
-    moment = _iso(text, day_first).try_cast("timestamp")
     half = F.lower(F.right(text, F.lit(2)))
-    shift = F.when((half == "pm") & (F.hour(moment) < 12), 12).when((half == "am") & (F.hour(moment) == 12), -12).otherwise(0)
-    return F.when(half.isin("am", "pm"), F.timestamp_add("HOUR", shift, moment)).otherwise(moment)
+
+    def in_day(moment: Column) -> Column:
+        shift = F.when((half == "pm") & (F.hour(moment) < 12), 12).when((half == "am") & (F.hour(moment) == 12), -12).otherwise(0)
+        return F.when(half.isin("am", "pm"), F.timestamp_add("HOUR", shift, moment)).otherwise(moment)
+
+    # Bound once by the lambda. Written out at each use, the shapes make one generated method too long for the JIT.
+    return F.get(F.transform(F.array(_iso(text, day_first).try_cast("timestamp")), in_day), F.lit(0))
 
 
 def moment_of(df: DataFrame, name: str, day_first: bool = False) -> Column:

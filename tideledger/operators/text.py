@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -66,20 +66,38 @@ def tokens(column: str = TEXT):
     return F.regexp_extract_all(F.lower(F.col(column)), F.lit(f"({TOKEN})"), 1)
 
 
-def _shredding() -> list:
-    return [
-        RegexTokenizer(inputCol=TEXT, outputCol="words", pattern=TOKEN, gaps=False, toLowercase=True),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-    ]
-
-
 def frequent_grams(shredded: DataFrame, most: int) -> list[str]:
     """The ``most`` words and word pairs that occur most often, ties by text; counted by one hash aggregate."""
     counts = shredded.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     return [r["gram"] for r in counts.orderBy(F.desc("n"), "gram").limit(most).select("gram").collect()]
 
 
+class GramCounter(Estimator):
+    """MLlib's count vectors over ``frequent_grams``."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        grams = frequent_grams(dataset, self.most)
+        if not grams:
+            raise ValueError("No text has a token")
+        return CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="counts")
+
+
+def _counting(max_features: int) -> Pipeline:
+    return Pipeline(
+        stages=[
+            RegexTokenizer(inputCol=TEXT, outputCol="words", pattern=TOKEN, gaps=False, toLowercase=True),
+            NGram(n=2, inputCol="words", outputCol="pairs"),
+            SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
+            GramCounter(max_features),
+            IDF(inputCol="counts", outputCol="rarity"),
+        ]
+    )
+
+
 @dataclass
 class Categorizer:
     """A fitted categorizer with its test predictions."""
@@ -127,18 +145,15 @@ def train_categorizer(df: DataFrame, key: str = TEXT, requested: dict | None = N
     weighted = lookup_join(train, per_class, [CATEGORY]).select(TEXT, CATEGORY, balanced)
 
     labels = StringIndexer(inputCol=CATEGORY, outputCol="label", stringOrderType="alphabetAsc").fit(weighted)
-    shredding = _shredding()
-    grams = frequent_grams(PipelineModel(shredding).transform(weighted), params["max_features"])
-    if not grams:
-        raise ValueError("No text has a token")
-    counting = [*shredding, CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="counts")]
+    *stages, rarities = _counting(params["max_features"]).getStages()
+    counting = Pipeline(stages=stages).fit(weighted)
     # Counts are read twice, texts once.
-    counted = stage(labels.transform(PipelineModel(counting).transform(weighted)).select("counts", "label", "weight"))
-    idf = IDF(inputCol="counts", outputCol="rarity").fit(counted)
+    counted = stage(labels.transform(counting.transform(weighted)).select("counts", "label", "weight"))
+    idf = rarities.fit(counted)
     # MLlib's rarity is ln((1 + n) / (1 + df)); the weight wanted here is that plus one.
     rarity = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="counts", outputCol="weighted")
     scaling = [rarity, Normalizer(inputCol="weighted", outputCol="features", p=2.0)]
-    shaping = [*counting, *scaling]
+    shaping = [*counting.stages, *scaling]
     ready = PipelineModel(scaling).transform(counted).select("features", "label", "weight")
     fitted = LogisticRegression(
         maxIter=params["max_iter"], regParam=1.0 / count, standardization=False, weightCol="weight", family="multinomial"
